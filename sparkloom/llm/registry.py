@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import licenses, quality, urlfilter
+from sparkloom.llm import bpe, fingerprint, licenses, packing, quality, urlfilter
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urlfilter.op5_url_filters,
+    "op7_packing": packing.op7_packing,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL = {
