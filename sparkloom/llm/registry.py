@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, fingerprint, licenses, packing, quality, urlfilter
+from sparkloom.llm import bpe, fingerprint, licenses, packing, quality, toxicity, urlfilter
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urlfilter.op5_url_filters,
     "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL = {
