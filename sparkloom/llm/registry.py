@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, fingerprint, licenses, packing, quality, toxicity, urlfilter
+from sparkloom.llm import bpe, dedup, fingerprint, licenses, packing, quality, toxicity, urlfilter
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urlfilter.op5_url_filters,
+    "op6_minhash_dedup": dedup.op6_minhash_dedup,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
