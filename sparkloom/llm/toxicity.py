@@ -242,10 +242,11 @@ def passages(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
     Null and empty texts have no passages and the score of a text without any.
     Repeated rows score alike; an empty table gives an empty result; columns
-    that aren't in keep are dropped.
+    that aren't in keep are dropped, as are its columns named like a result.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    keep = tuple(k for k in keep if k not in ("score", "passages"))
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     shared = spark.sparkContext.broadcast(model)
     item = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("p", pa.float64())])
