@@ -17,6 +17,7 @@ task and length are joined back.
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import zlib
@@ -39,16 +40,27 @@ class Tokens:
     """Ids by the tokenizers library.
 
     The vocabulary's normaliser and pre-tokeniser never join text across white
-    space, so texts are cut at spaces, tabs and line ends, and each distinct
-    stretch is encoded once; up to CACHED are kept.
+    space, nor a letter or digit with the ASCII punctuation after it, so texts
+    are cut at spaces, tabs and line ends, stretches lose their closing
+    punctuation and the case of A-Z, and each distinct one is encoded once.
+    Two generations of up to CACHED stretches are kept: when the younger is
+    full it becomes the elder, so what is in use stays.
     """
 
+    CLOSING = ".,;:!?"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+
+    @staticmethod
+    def closes(c: str) -> bool:
+        """A letter or digit that stays one under composition and lower-casing: the Latin blocks' but for one."""
+        return c < "\u0180" and c != "\u0130" and c.isalnum()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit integers."""
@@ -57,15 +69,31 @@ class Tokens:
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
-            need = set(parts)
-            new = [p for p in need if p not in known]
-            if len(known) + len(new) > CACHED:
-                self.known = known = {}
-                new = list(need)
-            found = self.model.encode_batch(new, add_special_tokens=False)
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found, strict=True))
+            self._learn(set(parts))
+        known = self.known
         return b"".join([known[p] for p in parts])
 
+    def _learn(self, need: set[str]) -> None:
+        new = {p for p in need if p not in self.known}
+        if len(self.known) + len(new) > CACHED:
+            self.known, self.elder, new = {}, self.known, need
+        known, elder = self.known, self.elder
+        cut = {}
+        for p in new:
+            if p in elder:
+                known[p] = elder[p]
+            else:
+                stem = p.rstrip(self.CLOSING)
+                cut[p] = (stem, p[len(stem) :]) if stem and len(stem) < len(p) and self.closes(stem[-1]) else (p, "")
+        # Lower-casing is the normaliser's own first effect on A-Z; other letters are left to it.
+        plain = {p: tuple(x.lower() if x.isascii() and "<|" not in x else x for x in xs) for p, xs in cut.items()}
+        unknown = list({x for xs in plain.values() for x in xs if x not in known and x not in elder})
+        found = self.model.encode_batch_fast(unknown, add_special_tokens=False)
+        fresh = {x: array.array("I", e.ids).tobytes() for x, e in zip(unknown, found, strict=True)}
+        known.update(fresh)
+        get = lambda x: known[x] if x in known else elder[x]
+        known.update((p, get(a) + get(b) if b else get(a)) for p, (a, b) in plain.items())
+
 
 @functools.lru_cache(maxsize=1)
 def tokens(path: str) -> Tokens:
