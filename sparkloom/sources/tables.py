@@ -20,7 +20,11 @@ def _path(c: Column) -> Column:
 
 
 def tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """All files under root: path, relative path, bytes, time, content (read only by plans that name it)."""
+    """All files under root: path, relative path, bytes, time, content (read only by plans that name it).
+
+    Spark's listing passes over names that begin with a dot or an underscore,
+    and over empty files.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -34,9 +38,18 @@ def outside_skipped(file: Column, skip: tuple[str, ...] | list[str] = rules.SKIP
 
 
 def ignored_by(spark: SparkSession, root: str) -> list[str]:
-    """The plain patterns of the root's .gitignore: configuration, read on the driver through Spark."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select(F.decode("content", "UTF-8").alias("t")).collect()
-    return [x.strip() for r in found for x in r["t"].splitlines() if x.strip() and x.strip()[0] not in "#!"]
+    """The patterns of the root's .gitignore, without negations: configuration, read on the driver through Hadoop's file system, since scans pass over dot-names."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    stream = fs.open(path)
+    try:
+        body = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [x.strip() for x in body.splitlines() if x.strip() and x.strip()[0] not in "#!"]
 
 
 def not_ignored(file: Column, patterns: list[str]) -> Column:
@@ -46,10 +59,15 @@ def not_ignored(file: Column, patterns: list[str]) -> Column:
         if "/" in body or anchored:
             ok = ok & ~file.rlike(text.glob_regex(body)[:-1] + "(?:/.*)?$")
         else:
-            ok = ok & ~F.exists(F.split(file, "/"), lambda x, b=body: x.rlike(text.glob_regex(b)))
+            ok = ok & ~F.exists(F.split(file, "/"), _matches(body))
     return ok
 
 
+def _matches(glob: str):
+    pattern = text.glob_regex(glob)
+    return lambda x: x.rlike(pattern)
+
+
 def project_files(spark: SparkSession, root: str) -> DataFrame:
     """Ignore rules and skip list applied, hidden files included, supported extensions only."""
     f = F.col("file")
@@ -110,7 +128,7 @@ def webhook_changes(payloads: DataFrame, body: str = "body", header: str = "chan
     """The changed paths: the header's comma list if there is one, else what the commits added or modified."""
     commits = F.from_json(F.col(body), "commits array<struct<added:array<string>,modified:array<string>>>")["commits"]
     both = F.flatten(F.transform(commits, lambda c: F.array_union(F.coalesce(c["added"], F.array().cast("array<string>")), F.coalesce(c["modified"], F.array().cast("array<string>")))))
-    listed = F.filter(F.transform(F.split(F.col(header), ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(F.col(header), ","), lambda x: F.trim(x)), lambda x: x != "")
     return payloads.withColumn("path", F.explode(F.when(F.coalesce(F.col(header), F.lit("")) != "", listed).otherwise(both)))
 
 
