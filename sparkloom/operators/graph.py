@@ -1,7 +1,9 @@
 """Graphs as node and edge tables: neighbours, degrees, traversal, cycles, flows.
 
 Iterative operators keep a frontier that shrinks, write each round to the
-shared checkpoint folder, and stop when a round adds nothing.
+shared checkpoint folder, and stop when a round adds nothing.  A graph whose
+edges are counted and found to be LOCAL or fewer is walked on the driver
+instead: a round of Spark jobs costs more than the whole walk.
 """
 
 from __future__ import annotations
@@ -11,6 +13,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that are walked on the driver; more stay distributed.
+LOCAL = 1 << 16
+
+
+def _few(edges: DataFrame, local: int) -> list[tuple] | None:
+    """The edges, if they are local or fewer; at most one more is fetched to tell."""
+    if not local:
+        return None
+    rows = edges.select("src", "dst").limit(local + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= local else None
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; the folder is the session's, or a temporary one where it has none."""
@@ -57,9 +70,22 @@ def resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.join(by_id, "dst", "left").join(by_name, "dst", "left").withColumn("callee_id", F.coalesce("_by_id", "_by_name")).drop("_by_id", "_by_name")
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int = 3, include_start: bool = True, kinds: list[str] | None = None) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, max_depth: int = 3, include_start: bool = True, kinds: list[str] | None = None, local: int = LOCAL) -> DataFrame:
     """(node, depth) of the nodes within max_depth steps of start (node), each at its least depth."""
     e = (edges.where(F.col("kind").isin(*kinds)) if kinds else edges).select("src", "dst").distinct()
+    if (few := _few(e, local)) is not None and len(begin := start.select("node").distinct().limit(local + 1).collect()) <= local:
+        after: dict = {}
+        for a, b in few:
+            after.setdefault(a, []).append(b)
+        depth_of = {r["node"]: 0 for r in begin}
+        layer = list(depth_of)
+        for depth in range(1, max_depth + 1):
+            layer = list({b for a in layer for b in after.get(a, ()) if b not in depth_of})
+            depth_of.update(dict.fromkeys(layer, depth))
+            if not layer:
+                break
+        kind = dict(start.dtypes)["node"]
+        return start.sparkSession.createDataFrame([x for x in depth_of.items() if include_start or x[1]], f"node {kind}, depth int")
     frontier = start.select("node").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
@@ -71,7 +97,46 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int = 3, include_start:
     return seen if include_start else seen.where("depth > 0")
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
+def _components(edges: list[tuple]) -> list[list]:
+    """Strongly connected components by two depth-first passes, without recursion."""
+    after: dict = {}
+    before: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+        before.setdefault(b, []).append(a)
+    seen, order = set(), []
+    for root in after:
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(after[root]))]
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((x for x in rest if x not in seen), None)
+            if nxt is None:
+                order.append(node)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(after[nxt])))
+    out, placed = [], set()
+    for root in reversed(order):
+        if root in placed:
+            continue
+        placed.add(root)
+        group, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            new = [x for x in before.get(node, ()) if x not in placed]
+            placed.update(new)
+            todo += new
+        out.append(group)
+    return out
+
+
+def cycle_nodes(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """The nodes on any cycle, self-loops included.
 
     Edges that can't lie on a cycle are trimmed: those whose source has no
@@ -80,7 +145,12 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     own node then spreads backward within its colour, and what it reaches is its
     strongly connected component.  Settled nodes leave, and the rest goes on.
     """
-    e = _cut(edges.select("src", "dst").distinct())
+    e = edges.select("src", "dst").distinct()
+    if (few := _few(e, local)) is not None:
+        loops = {a for a, b in few if a == b}
+        nodes = sorted(loops.union(*(g for g in _components(few) if len(g) > 1)))
+        return edges.sparkSession.createDataFrame([(x,) for x in nodes], f"node {dict(edges.dtypes)['src']}")
+    e = _cut(e)
     found = e.where("src = dst").select(F.col("src").alias("node"))
     e = e.where("src != dst")
     while True:
@@ -98,7 +168,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
         inside = _cut(e.join(c1, "src").join(c2, "dst").where("a = b").select("src", "dst"))
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         roots = colour.where("node = colour").select("node")
-        scc = reach(back, roots, 1 << 30)
+        scc = reach(back, roots, 1 << 30, local=0)
         scc = scc.join(colour, "node")
         several = scc.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
         found = _cut(found.unionByName(scc.join(several, "colour", "left_semi").select("node")))

@@ -121,6 +121,15 @@ def test_cycles(spark, pairs, want):
     assert nodes_of(graph.cycle_nodes(edges(spark, pairs))) == want
 
 
+def test_cycles_distributed(spark):
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("f", "f"), ("a", "g"), ("g", "h")]
+    assert nodes_of(graph.cycle_nodes(edges(spark, pairs), local=0)) == ["a", "b", "c", "d", "f"]
+
+
+def test_long_chain_has_no_cycle(spark):
+    assert graph.cycle_nodes(edges(spark, [(f"node_{k}", f"node_{k + 1}") for k in range(1000)])).isEmpty()
+
+
 def test_cycle_paths(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "d")])
     assert sorted(r["path"] for r in graph.cycle_paths(e).collect()) == [["a", "b", "c", "a"], ["d", "d"]]
@@ -131,6 +140,7 @@ def test_reach(spark):
     start = spark.createDataFrame([("A",)], "node string")
     assert nodes_of(graph.reach(e, start, 3)) == ["A", "B", "C"]
     assert nodes_of(graph.reach(e, start, 1)) == ["A", "B"]
+    assert sorted(map(tuple, graph.reach(e, start, 3, local=0).collect())) == sorted(map(tuple, graph.reach(e, start, 3).collect()))
     assert nodes_of(graph.reach(e, start, 3, include_start=False)) == ["B", "C"]
 
 
