@@ -220,3 +220,32 @@ def flows(symbols: DataFrame, calls: DataFrame, entries: dict[str, str], layer,
 
 def isolated(edges: DataFrame, project: str) -> DataFrame:
     return edges.where(F.col("project_id") == project)
+
+
+def related(edges: DataFrame, node, k: int = 10) -> DataFrame:
+    """Nodes within two steps, those of highest degree first."""
+    start = edges.sparkSession.createDataFrame([(node,)], f"node {dict(edges.dtypes)['src']}")
+    near = reach(edges, start, 2, include_start=False)
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    return near.join(degree, "node", "left").na.fill(0, ["degree"]).orderBy(F.desc("degree"), "depth", "node").limit(k)
+
+
+def path(edges: DataFrame, start, end, max_depth: int = 10) -> DataFrame:
+    """A shortest path (node, depth) from start to end, the least ids first; none if end isn't within max_depth.
+
+    Nodes' depths from start are joined with the edges once a step, backward from end.
+    """
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    depth = _cut(reach(edges, spark.createDataFrame([(start,)], f"node {kind}"), max_depth))
+    last = depth.where(F.col("node") == end).first()
+    found, node = [], end
+    for d in range(last["depth"] if last else -1, -1, -1):
+        found.append((node, d))
+        if d:
+            node = depth.where(F.col("depth") == d - 1).join(edges.where(F.col("dst") == node), F.col("node") == F.col("src")).agg(F.min("node")).first()[0]
+    return spark.createDataFrame(found[::-1], f"node {kind}, depth int")
+
+
+def inserted(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes with new ones in place of those of the same id; edges are appended by unionByName."""
+    return nodes.join(new.select("node"), "node", "left_anti").unionByName(new)
