@@ -104,3 +104,28 @@ def heads(files: DataFrame, content: str = "content") -> DataFrame:
     cs = (F.col("language") == "csharp") & F.col("line").rlike(r"\brecord\s+\w+")
     members = F.when(kt, F.array(*map(F.lit, ("equals()", "hashCode()", "toString()", "copy()", "componentN()")))).otherwise(F.array(*map(F.lit, ("Equals()", "GetHashCode()", "ToString()", "Deconstruct()"))))
     return lines.where(kt | cs).select("file", (F.col("n") + 1).alias("line"), F.when(kt, "KotlinDataClass").otherwise("CSharpRecord").alias("pattern_type"), members.alias("members"))
+
+
+#: Languages that are cut by declarations; others by lines.
+ROUTED = ("rust", "typescript", "javascript", "python")
+
+
+def chunks(files: DataFrame, file: str = "file", content: str = "content", language: str = "language", routed: tuple[str, ...] = ROUTED) -> DataFrame:
+    """A chunk for each outermost declaration of a file: its lines, kind and name.  Text outside of any belongs to no chunk."""
+    importable(files.sparkSession)
+    schema = pa.schema([("file", pa.string()), ("language", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("scope", pa.string()), ("content", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for f, lang, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                end, lines = 0, (c or "").split("\n")
+                for s in sorted(parsing.parsed(c or "", lang or "")[0], key=lambda s: (s.start, -s.end)):
+                    body = "\n".join(lines[s.start - 1 : s.end])
+                    if s.start > end and body.strip():
+                        rows.append({"file": f, "language": lang, "start_line": s.start, "end_line": s.end, "scope": f"{s.kind.lower()}::{s.name}", "content": body})
+                        end = s.end
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.where(F.col(language).isin(*routed)).select(F.col(file), F.col(language), F.col(content)).mapInArrow(run, "file string, language string, start_line long, end_line long, scope string, content string")

@@ -111,3 +111,8 @@ def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("symbol_map")
 def symbol_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.symbol_map(Y.symbols(_records(spark)))
+
+
+@query("ast_chunks")
+def ast_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.chunks(files(spark))

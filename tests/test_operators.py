@@ -233,3 +233,8 @@ def test_frameworks(spark):
 
 def test_rule_tables():
     assert len(rules.FRAMEWORKS) == 19 and len(rules.LOMBOK) == 12 and len(rules.ENTRIES) == 19 and len(rules.SECRETS) == 14
+
+
+def test_declaration_chunks(spark):
+    f = spark.createDataFrame([("a.rs", "rust", "use x;\n\nstruct A {\n    b: u8,\n}\n\nimpl A {\n    fn f(&self) {\n    }\n}\n"), ("b.go", "go", "func f() {}")], "file string, language string, content string")
+    assert [(r["start_line"], r["end_line"], r["scope"]) for r in symbols.chunks(f).orderBy("start_line").collect()] == [(3, 5, "struct::A"), (8, 9, "method::f")]
