@@ -45,3 +45,28 @@ def let(value: Column, body) -> Column:
     itself a lambda variable; the one-element array makes it one.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Bits of the map of ids that ``maybe`` broadcasts: 2**18 rows of two longs at most, whatever the number of ids.
+MAP_BITS = 24
+
+
+def maybe(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with ``_maybe``: false only where key is none of ids (one column, named key).
+
+    A one-hash Bloom filter of fixed size, made by an aggregate of bits into
+    words and joined by broadcast.  With more ids than it can tell apart it lets
+    more through and stays right; it spares the rows it excludes a shuffle.
+    """
+    bit = lambda c: F.xxhash64(c).bitwiseAND((1 << MAP_BITS) - 1)
+    words = ids.where(F.col(key).isNotNull()).select(bit(F.col(key)).alias("_b")).groupBy(F.shiftright("_b", 6).alias("_word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits"))
+    d = df.withColumn("_b", bit(F.col(key))).withColumn("_word", F.shiftright("_b", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.expr("(_bits & shiftleft(1L, cast(_b & 63 as int))) != 0"), F.lit(False)) & F.col(key).isNotNull()
+    return d.withColumn("_maybe", hit).select(*df.columns, "_maybe")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key is none of ids; only those that may be are shuffled for an exact test."""
+    marked = maybe(df, key, ids)
+    return marked.where("NOT _maybe").drop("_maybe").unionByName(marked.where("_maybe").drop("_maybe").join(ids.hint("merge"), key, "left_anti"))

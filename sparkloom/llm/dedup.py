@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import minhash
 from sparkloom.llm.batches import gathered, rows_of, small_batches
-from sparkloom.llm.common import table, written
+from sparkloom.llm.common import maybe, table, written
 
 BLOCK, PERCENT = 1024, 75
 
@@ -102,7 +102,9 @@ def links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     members = members.select("pivot", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
     members = members.select(F.col("rep").alias("doc_id"), "pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    units = texts.join(members, "doc_id").select("pivot", "low", "high", "doc_id", "text")
+    # Most texts are in no group: a map of fixed size keeps them out of the shuffle.
+    texts = maybe(texts, "doc_id", stars.select(F.col("rep").alias("doc_id"))).where("_maybe").drop("_maybe")
+    units = texts.join(members.hint("merge"), "doc_id").select("pivot", "low", "high", "doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = units.repartition(n, "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "doc_id")
 
@@ -142,7 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "src").select(F.col("dst").alias("a"), "src", "m")
         small = small.select(F.col("a").alias("src"), F.col("m").alias("dst")).unionByName(small.select("src", F.col("m").alias("dst"))).where("src != dst").distinct()
         e = written(small, "edges")
-    return e.groupBy("src").agg(F.min("dst").alias("component")).withColumnRenamed("src", "node")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), "dst"))
+    return both.groupBy("src").agg(F.min("dst").alias("component")).withColumnRenamed("src", "node")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
