@@ -6,7 +6,7 @@ have few distinct lengths, and the plan depends on the histogram of those
 lengths alone, however many documents there are.  The linear program over
 patterns (multisets of lengths that fit a sequence) starts from one-length
 patterns; a knapsack dynamic program prices new columns by the dual values until
-none helps.  Patterns are rounded down; what is left over is filled greedily,
+none helps, or the bound that the duals prove is near.  Patterns are rounded down; what is left over is filled greedily,
 longest first.  Pieces, ranked within their length, take the patterns' slots.
 
 One pass tokenises; its slim rows are written.  A piece's rank is its rank in
@@ -20,6 +20,7 @@ from __future__ import annotations
 import array
 import functools
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,22 +34,27 @@ from sparkloom.llm.batches import gathered, rows_of, small_batches
 from sparkloom.llm.common import table, written
 
 SIZE, GRAIN, END = 4096, 64, 2
-CACHED = 1 << 18
+#: The linear program ends when its value is this share above the bound that the prices prove.
+GAP = 2e-4
+CACHED, TOGETHER = 1 << 19, 1 << 20
+
+
+#: Closing punctuation between a letter or digit of the Latin blocks (but for one that lower-cases to two) and white space.
+_CLOSING = re.compile("[.,;:!?](?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f][.,;:!?])[.,;:!?]*(?![^ \\n\\t\\r])")
 
 
 class Tokens:
     """Ids by the tokenizers library.
 
     The vocabulary's normaliser and pre-tokeniser never join text across white
-    space, nor a letter or digit with the ASCII punctuation after it, so texts
-    are cut at spaces, tabs and line ends, stretches lose their closing
-    punctuation and the case of A-Z, and each distinct one is encoded once.
-    Two generations of up to CACHED stretches are kept: when the younger is
-    full it becomes the elder, so what is in use stays.
+    space, nor a letter or digit with the ASCII punctuation after it, and begin
+    by lower-casing; so texts are lower-cased in A-Z, cut at spaces, tabs, line
+    ends and before closing punctuation, and each distinct stretch is encoded
+    once.  Texts that may spell a special token are cut at white space alone.
+    Two generations of up to CACHED stretches are kept, some 70 MB each: when the
+    younger is full it becomes the elder, so what is in use stays.
     """
 
-    CLOSING = ".,;:!?"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -58,41 +64,33 @@ class Tokens:
         self.elder: dict[str, bytes] = {}
 
     @staticmethod
-    def closes(c: str) -> bool:
-        """A letter or digit that stays one under composition and lower-casing: the Latin blocks' but for one."""
-        return c < "\u0180" and c != "\u0130" and c.isalnum()
+    def cut(text: str) -> list[str]:
+        """Stretches whose ids, one after the other, are the text's."""
+        if "<|" not in text:
+            text = _CLOSING.sub(r" \g<0>", text.encode().lower().decode())
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit integers."""
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self._learn(set(parts))
+        return next(self.ids_of([text]))
+
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        """ids() of each, with one call of the library for all that is new; texts are few, or short."""
+        cut = [self.cut(t) for t in texts]
+        need = set().union(*cut)
+        self._learn(need, [p for p in need if p not in self.known])
         known = self.known
-        return b"".join([known[p] for p in parts])
+        for parts in cut:
+            yield b"".join([known[p] for p in parts])
 
-    def _learn(self, need: set[str]) -> None:
-        new = {p for p in need if p not in self.known}
+    def _learn(self, need: set[str], new: list[str]) -> None:
         if len(self.known) + len(new) > CACHED:
-            self.known, self.elder, new = {}, self.known, need
+            self.known, self.elder, new = {}, self.known, list(need)
         known, elder = self.known, self.elder
-        cut = {}
-        for p in new:
-            if p in elder:
-                known[p] = elder[p]
-            else:
-                stem = p.rstrip(self.CLOSING)
-                cut[p] = (stem, p[len(stem) :]) if stem and len(stem) < len(p) and self.closes(stem[-1]) else (p, "")
-        # Lower-casing is the normaliser's own first effect on A-Z; other letters are left to it.
-        plain = {p: tuple(x.lower() if x.isascii() and "<|" not in x else x for x in xs) for p, xs in cut.items()}
-        unknown = list({x for xs in plain.values() for x in xs if x not in known and x not in elder})
+        known.update((p, elder[p]) for p in new if p in elder)
+        unknown = [p for p in new if p not in elder]
         found = self.model.encode_batch_fast(unknown, add_special_tokens=False)
-        fresh = {x: array.array("I", e.ids).tobytes() for x, e in zip(unknown, found, strict=True)}
-        known.update(fresh)
-        get = lambda x: known[x] if x in known else elder[x]
-        known.update((p, get(a) + get(b) if b else get(a)) for p, (a, b) in plain.items())
+        known.update((p, array.array("I", e.ids).tobytes()) for p, e in zip(unknown, found, strict=True))
 
 
 @functools.lru_cache(maxsize=1)
@@ -130,7 +128,7 @@ def _best_pattern(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[f
     return float(best.max()), pattern
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> pieces) and how often each is used; together they hold each length exactly as often as histogram says."""
     lengths = np.array(sorted((x for x in histogram if histogram[x]), reverse=True), dtype=np.int64)
     if not len(lengths):
@@ -138,10 +136,17 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 1500) -> li
     demand = np.array([histogram[int(x)] for x in lengths], dtype=float)
     base = np.diag((size // lengths).astype(float))
     inverse, used = np.diag(1 / base.diagonal()), demand / base.diagonal()
+    bound, centre = 0.0, lengths / size
     for _ in range(rounds):
         prices = inverse.sum(axis=0)
-        value, pattern = _best_pattern(lengths, prices, size)
-        if value <= 1 + 1e-4:
+        # Prices swing from round to round: price at a point between the best seen and these, and at these where that finds nothing.
+        for trial in (0.7 * centre + 0.3 * prices, prices):
+            value, pattern = _best_pattern(lengths, trial, size)
+            if value > 0 and (reached := float(trial @ demand) / value) > bound:
+                bound, centre = reached, trial / value
+            if prices @ pattern > 1 + 1e-6:
+                break
+        if prices @ pattern <= 1 + 1e-6 or used.sum() <= bound * (1 + GAP):
             break
         column = inverse @ pattern
         can = column > 1e-9
@@ -205,9 +210,18 @@ def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         seen: Counter = Counter()
         t = tokens(path)
 
+        def encoded() -> Iterator[tuple]:
+            held, size = [], 0
+            for row in rows_of(batches, "doc_id", "part", "text"):
+                held.append(row)
+                size += len(row[2])
+                if size >= TOGETHER:
+                    yield from ((i, p, x + end) for (i, p, _), x in zip(held, t.ids_of([r[2] for r in held]), strict=True))
+                    held, size = [], 0
+            yield from ((i, p, x + end) for (i, p, _), x in zip(held, t.ids_of([r[2] for r in held]), strict=True))
+
         def rows() -> Iterator[tuple]:
-            for doc_id, text, part in rows_of(batches, "doc_id", "text", "part"):
-                ids = t.ids(text) + end
+            for doc_id, part, ids in encoded():
                 for start, length in cuts(len(ids) // 4):
                     yield doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, part, seen[length]
                     seen[length] += 1
