@@ -1,22 +1,27 @@
 """Licence scans: phrases that name a licence, and a positional index of each template's rarest words.
 
-Base: every place where a phrase's words stand consecutively.  Method: from each
-template the words of highest IDF among the templates are indexed with their
-positions.  In a text each such word votes for (template, its position minus the
+Base: every place where a phrase's words stand consecutively.  Method: templates
+are usual notices and the passages of whole licence texts (``license_texts``);
+from each the words of highest IDF among all of them are indexed with their
+positions, never those that many templates share.  In a text each such word votes for (template, its position minus the
 posting's); votes that agree on one shift mean that the words stand as in the
 template.  A template with enough votes on a shift is reported if its mandatory
 key phrase stands in the text.
 
 All of it is row-local and made of built-in functions: one scan, no shuffle.  A
-substring test for the phrases (at memory speed) keeps the word arrays to the
-few texts that can have a hit; since a mandatory phrase is needed for any
-label, that test loses nothing.  Work within a text is O(n log n) in its words.
+substring test (at memory speed) for a few stems, one of which is in every
+phrase, keeps the word arrays to the texts that can have a hit; since a
+mandatory phrase is needed for any label, that test loses nothing.  Work within a text is O(n log n) in its words.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +35,7 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Label, mandatory key phrase, and a sentence of the licence or of its usual notice.
+#: Fixed values of the SQL: label, mandatory key phrase, and a sentence of the licence or of its usual notice.
 TEMPLATES = (
     ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
@@ -45,18 +50,69 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("rights-reserved", "all rights reserved", "all rights reserved"),
 )
+#: Usual notices by label, whatever stands around them; each is its own key phrase.
+NOTICES = {
+    "apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache license v 2 0", "apache license v2", "apache 2 0", "apache software license 2 0", "apache software license version 2 0", "apache version 2 0"),
+    "cc-by-nc": ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial", "attribution noncommercial 4 0"),
+    "cc-by-sa": ("cc by sa", "cc by nc sa", "creative commons attribution sharealike", "creative commons attribution share alike", "attribution sharealike 4 0"),
+    "cc-by-nd": ("cc by nd", "cc by nc nd", "creative commons attribution noderivatives", "creative commons attribution noderivs", "creative commons attribution no derivatives"),
+    "gpl-3.0": ("gnu general public license version 3", "gnu general public license v3", "gnu general public license v 3", "gnu general public license 3 0", "version 3 of the gnu general public license", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gpl v3", "gplv3", "gpl 3 0", "gnu general public license as published by the free software foundation either version 3", "gnu general public license as published by the free software foundation version 3"),
+    "gpl-2.0": ("gnu general public license version 2", "gnu general public license v2", "gnu general public license v 2", "gnu general public license 2 0", "version 2 of the gnu general public license", "gnu gpl version 2", "gnu gpl v2", "gpl version 2", "gpl v2", "gplv2", "gpl 2 0", "gnu general public license as published by the free software foundation either version 2", "gnu general public license as published by the free software foundation version 2"),
+    "lgpl": ("gnu lesser general public license version", "gnu lesser general public license v2 1", "gnu lesser general public license v3", "under the gnu lesser general public license", "terms of the gnu lesser general public license", "under the gnu library general public license", "terms of the gnu library general public license", "lgpl version", "lgplv2", "lgplv2 1", "lgplv3", "lgpl v3", "lgpl 2 1", "lgpl 3 0", "under the lgpl", "lgpl license"),
+    "agpl-3.0": ("gnu affero general public license version 3", "gnu affero general public license v3", "terms of the gnu affero general public license", "under the gnu affero general public license", "agplv3", "agpl v3", "agpl 3 0"),
+    "mpl-2.0": ("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license v2 0", "mozilla public license 2 0", "mpl 2 0", "mpl v2", "mplv2"),
+    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy",),
+    "mit-release": ("under the mit license", "under the terms of the mit license", "under an mit license", "under mit license", "mit licensed", "spdx license identifier mit"),
+    "bsd": ("redistribution and use in source and binary forms", "bsd 3 clause", "bsd 2 clause", "3 clause bsd", "2 clause bsd", "new bsd license", "under the bsd license", "under a bsd style license"),
+    "isc": ("under the isc license", "isc license isc", "spdx license identifier isc"),
+    "rights-reserved": ("all rights reserved",),
+}
+#: The files of whole licence texts by label; CC BY-NC and BY-ND have notices alone.
+TEXTS = {"apache-2.0": ("apache-2.0",), "bsd": ("bsd-2", "bsd-3"), "cc-by-sa": ("cc-by-sa",), "gpl-2.0": ("gpl-2.0",), "gpl-3.0": ("gpl-3.0",), "isc": ("isc",), "lgpl": ("lgpl-2.1", "lgpl-3.0"), "mit-text": ("mit",), "mpl-2.0": ("mpl-2.0",)}
+#: Words of a passage, and words of its key phrase.
+PASSAGE, KEY = 60, 5
+#: Words in more than this share of the templates are not indexed.
+COMMON = 0.1
+#: Stems for the substring test.
+STEMS = ("licens", "copy", "warrant", "distribut", "software", "rights", "library", "program", "modif", "gpl", "cc by", "creative", "clause bsd")
 #: Rare words a template is indexed by, and the share of them that must agree on a shift.
 RARE, SHARE = 6, 0.6
 
 
-def index(templates=TEMPLATES, rare: int = RARE) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
-    """word -> [(template, position)] for each template's words of highest IDF (ties: alphabetical), and their number by template."""
+def _key(w: list[str], idf: dict[str, float], elsewhere: set[tuple]) -> str | None:
+    """The rarest KEY words in a row that no other label's text has, those with a stem first; none if all are shared."""
+    runs = [w[i : i + KEY] for i in range(len(w) - KEY + 1)]
+    stem = lambda r: any(x in " ".join(r) for x in STEMS)
+    return max(((stem(r), sum(idf[x] for x in r), " ".join(r)) for r in runs if tuple(r) not in elsewhere), default=(0, 0, None))[2]
+
+
+@cache
+def full_templates() -> tuple[tuple[str, str, str], ...]:
+    """(label, key phrase, words) of the notices and of each passage of the licence texts that is its label's own."""
+    out = [(label, n, n) for label, ns in NOTICES.items() for n in ns]
+    words = {(label, f): re.findall("[a-z0-9]+", (Path(__file__).parent / "license_texts" / f"{f}.txt").read_text("utf-8").lower()) for label, fs in TEXTS.items() for f in fs}
+    runs = {at: {tuple(w[i : i + KEY]) for i in range(len(w) - KEY + 1)} for at, w in words.items()}
+    passages = [(at, w[i : i + PASSAGE]) for at, w in words.items() for i in range(0, len(w), PASSAGE)]
+    df = Counter(x for _, p in passages for x in set(p))
+    idf = {x: math.log(len(passages) / n) for x, n in df.items()}
+    for (label, _), p in passages:
+        if key := _key(p, idf, set().union(*(r for at, r in runs.items() if at[0] != label))):
+            out.append((label, key, " ".join(p)))
+    return tuple(out)
+
+
+def index(templates=TEMPLATES, rare: int = RARE, common: float = 1.0) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """word -> [(template, position)] for each template's words of highest IDF (ties: alphabetical), and their number by template.
+
+    Words in more than a share common of the templates are left out, unless a template has no others.
+    """
     texts = [t.split() for _, _, t in templates]
     df = Counter(w for t in texts for w in set(t))
     postings: dict[str, list[tuple[int, int]]] = {}
     sizes = []
     for k, t in enumerate(texts):
-        chosen = set(sorted(set(t), key=lambda w: (-math.log(len(texts) / df[w]), w))[:rare])
+        own = {w for w in t if df[w] <= common * len(texts)} or set(t)
+        chosen = set(sorted(own, key=lambda w: (-math.log(len(texts) / df[w]), w))[:rare])
         places = [(w, i) for i, w in enumerate(t) if w in chosen]
         sizes.append(len(places))
         for w, i in places:
@@ -89,20 +145,25 @@ def _all(conditions: list[Column]) -> Column:
 
 def _votes(w: Column, postings) -> Column:
     """Sorted array of (template, shift), one for each posting of each indexed word in the text."""
-    table_ = F.create_map(*[c for word, ps in sorted(postings.items()) for c in (F.lit(word), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(i).alias("i")) for k, i in ps]))])
+    entries = json.dumps({word: [{"t": k, "i": i} for k, i in ps] for word, ps in sorted(postings.items())})
+    table_ = F.from_json(F.lit(entries), "map<string,array<struct<t:int,i:int>>>")
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sorted(postings)))
     return F.sort_array(F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(table_, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["i"]).alias("shift"))))))
 
 
-def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=None, share: float = SHARE) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to docs.
 
+    templates are (label, key phrase, words); full_templates() if not given.
     Null text counts as empty: no words, no labels (empty strings), score 0.
     first_word and last_word are null without a base hit.  Repeated rows get the
     same result each; columns of docs named like a result are replaced.
     """
-    postings, sizes = index(templates)
-    keys = sorted({p for p, _ in phrases} | {k for _, k, _ in templates})
+    templates = full_templates() if templates is None else templates
+    postings, sizes = index(templates, common=COMMON)
+    phrases_ = {p for p, _ in phrases} | {k for _, k, _ in templates}
+    shorter = {k for k in phrases_ if not any(x in k for x in STEMS)}
+    keys = sorted({k for k in shorter if not any(x != k and x in k for x in shorter)} | {x for x in STEMS if any(x in k for k in phrases_)})
     d = docs.withColumn("_spaced", _spaced(F.coalesce(F.col(text), F.lit(""))))
     low = F.lower("_spaced")
     maybe = low.contains(keys[0])

@@ -233,3 +233,32 @@ def test_sharding(spark, docs, none, tmp_path):
     before = store.version()
     store.vacuum()
     assert store.read().count() == 7 * len(ROWS) and store.version() == before
+
+
+def test_licenses_in_other_words(spark):
+    """Wordings that stand in no given document, whole texts without their headings, and words that only resemble a notice."""
+    said = {
+        "Licensed under the GNU General Public License version 3.": {"gpl", "gpl-3.0"},
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or later": {"gpl", "gpl-3.0"},
+        "Distributed under GPLv2, see COPYING": {"gpl-2.0"},
+        "You may use this under version 2.0 of the Apache License or not": {"apache"},
+        "SPDX-License-Identifier: Apache-2.0": {"apache-2.0"},
+        "This Source Code Form is subject to the Mozilla Public License 2.0": {"mpl-2.0"},
+        "This library comes under the terms of the GNU Lesser General Public License, version 3": {"lgpl"},
+        "Creative Commons Attribution-NonCommercial 4.0 International": {"cc-by-nc"},
+        "The code is MIT licensed": {"mit-release"},
+        "BSD 3-Clause": {"bsd"},
+        "this work is general and gnu 3": set(),
+        "the terms of a public license are subject to v 2 0": set(),
+    }
+    for label, names in licenses.TEXTS.items():
+        for name in names:
+            text = (licenses.Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text().split()
+            said[" ".join(text[len(text) // 2 :])] = {label}
+    r = licenses.scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for row, (text, want) in zip(r, said.items(), strict=True):
+        got = set(row["labels"].split(",")) - {""}
+        if len(text) > 400:
+            assert want <= got, text[:80]
+        else:
+            assert got == want, text
