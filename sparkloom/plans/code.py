@@ -130,7 +130,7 @@ _E = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge view is a definition of the graph, not a sample of it."""
+    """One order line in five hundred, as the SQL has it; all_edges has all of them."""
     n = table(spark, sf_dir, "supplier").count()
     return table(spark, sf_dir, "lineitem").where("l_orderkey % 500 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
 
@@ -190,6 +190,66 @@ def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cycle_nodes(edges(spark, sf_dir))
 
 
+# The same over every order line.  The graph is too dense for the recursive SQL, so the two traversals have none.
+_EA = _E.replace(" WHERE l_orderkey % 500 = 0", "")
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "supplier").count()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+
+
+@query("callers_all", f"WITH {_EA} SELECT src AS caller FROM e WHERE dst = 1")
+def callers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.callers(all_edges(spark, sf_dir), 1)
+
+
+@query("callees_all", f"WITH {_EA} SELECT dst AS callee FROM e WHERE src = 1")
+def callees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.callees(all_edges(spark, sf_dir), 1)
+
+
+@query("neighbours_all", f"WITH {_EA} SELECT DISTINCT dst AS node FROM e WHERE src = 0")
+def neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.neighbours(all_edges(spark, sf_dir), 0)
+
+
+@query("entry_points_all", f"WITH {_EA} SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)")
+def entry_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.entry_points(nodes(spark, sf_dir), all_edges(spark, sf_dir))
+
+
+@query("leaf_nodes_all", f"WITH {_EA} SELECT node FROM n WHERE node NOT IN (SELECT src FROM e)")
+def leaf_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.leaves(nodes(spark, sf_dir), all_edges(spark, sf_dir))
+
+
+@query("degree_topk_all", f"WITH {_EA} SELECT src AS node, count(*) AS degree FROM e GROUP BY 1 ORDER BY degree DESC, node LIMIT 10")
+def degree_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.bottlenecks(all_edges(spark, sf_dir), 10)
+
+
+@query("graph_stats_all", f"WITH {_EA} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, round((SELECT count(*) FROM e) / (SELECT count(*) FROM n)::DOUBLE, 6) AS avg_degree")
+def graph_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.stats(nodes(spark, sf_dir), all_edges(spark, sf_dir))
+
+
+@query("graph_scores_all", f"WITH {_EA} SELECT node, round(count(src) / 100.0::DOUBLE, 6) AS graph_score FROM n LEFT JOIN e ON src = node GROUP BY 1")
+def graph_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = all_edges(spark, sf_dir).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    return nodes(spark, sf_dir).join(d, "node", "left").select("node", F.round(F.coalesce("d", F.lit(0)) / F.lit(100.0), 6).alias("graph_score"))
+
+
+@query("bfs_depth3_all")
+def bfs_depth3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reach(all_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"), 3)
+
+
+@query("cycle_nodes_all")
+def cycle_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.cycle_nodes(all_edges(spark, sf_dir))
+
+
 @query(
     "flow_reach",
     """WITH RECURSIVE s AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
