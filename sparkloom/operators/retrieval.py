@@ -62,6 +62,39 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
     return top_per(scored, "query_id", k, "score", key)
 
 
+def cosine_blocks(vectors: DataFrame, queries: DataFrame, k: int, n_queries: int, n_vectors: int, per: int = 256, most: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest of each query (query_id, query), for query sets of any size: exact.
+
+    Blocks of about per queries meet blocks of about most vectors, dealt by a
+    hash of the ids; each pair of blocks is one matrix product that keeps its
+    own k for each query, and those few are ranked.  Null vectors take no part.
+    """
+    import numpy as np
+    import pandas as pd
+
+    nq, nv = -(-max(n_queries, 1) // per), -(-max(n_vectors, 1) // most)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.where("query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("x"), block("query_id", nq).alias("qb")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("x"), block(key, nv).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    kind = dict(vectors.dtypes)[key]
+
+    def unit(x) -> np.ndarray:
+        m = np.stack([np.asarray(r, "float64") for r in x])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "_key": [], "score": []})
+        b = b.sort_values("_key", kind="stable")
+        scores = (unit(a.x) @ unit(b.x).T).round(6)
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(a.query_id.to_numpy(), at.shape[1]), "_key": b["_key"].to_numpy()[at].ravel(), "score": np.take_along_axis(scores, at, 1).ravel()})
+
+    few = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, f"query_id {dict(queries.dtypes)['query_id']}, _key {kind}, score double")
+    return top_per(few.withColumnRenamed("_key", key), "query_id", k, "score", key)
+
+
 def fused(dense: DataFrame, sparse: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion of two short lists (key, score, ...); the payload comes from dense where both have it.  The lists are the callers' top results, so one window ranks each."""
     ranked = lambda d, n: d.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("score"), key))).select(key, scoring.rrf(F.col("_rank")).alias("_rrf"), F.lit(n).alias("_from"))

@@ -87,6 +87,18 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cosine_search(v, _queries(v), 10)
 
 
+@query(
+    "cosine_topk_all",
+    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10""",
+)
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all, in blocks."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return R.cosine_blocks(v, q, 10, q.count(), v.count())
+
+
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every vector with vector 0, as (doc_id, score)."""
     v = table(spark, sf_dir, "embeddings")

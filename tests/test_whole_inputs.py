@@ -47,3 +47,23 @@ def test_lookups_take_every_line(spark, graph):
     assert sorted(r["node"] for r in q["entry_points"]) == [n for n in range(9) if not any(n in b for b in after.values())]
     assert sorted(r["node"] for r in q["leaf_nodes"]) == [n for n in range(9) if n not in after]
     assert q["graph_stats"][0]["n_edges"] == sum(map(len, after.values()))
+
+
+def test_search_takes_every_query(spark, tmp_path):
+    """Ids divisible by 20, ties and a zero vector among them, over several blocks."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import retrieval as R
+
+    random.seed(3)
+    rows = [(k, [float(random.randrange(-2, 3)) for _ in range(3)] if k != 40 else [0.0, 0.0, 0.0]) for k in range(205)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+    want = sorted(tuple(r) for r in R.cosine_search(v, queries, 10).select("query_id", "vec_id", "score", "rank").collect())
+    for per, most in ((256, 4096), (2, 30)):
+        got = R.cosine_blocks(v, queries, 10, 11, 205, per, most).select("query_id", "vec_id", "score", "rank")
+        assert sorted(tuple(r) for r in got.collect()) == want
+    got = catalogue.QUERIES["cosine_topk_all"](spark, str(tmp_path)).select("query_id").distinct().count()
+    assert got == 11
