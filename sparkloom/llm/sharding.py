@@ -24,6 +24,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.llm.common import shared_dir, table
 
@@ -64,24 +65,33 @@ class Store:
     def _file(self, version: int) -> str:
         return f"{self.root}/_manifest/v{version}.json"
 
-    def manifest(self, version: int | None = None) -> list[Shard]:
+    def _stored(self, version: int | None) -> dict:
         v = self.version() if version is None else version
         if not v:
-            return []
+            return {}
         stream = self._fs.open(self._path(self._file(v)))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
+        return json.loads(text)
+
+    def manifest(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**x) for x in self._stored(version).get("shards", [])]
+
+    def schema(self, version: int | None = None) -> StructType | None:
+        """The rows' schema, which a version without shards has too; none before any version."""
+        found = self._stored(version).get("schema")
+        return found and StructType.fromJson(found)
 
-    def commit(self, base: int, shards: list[Shard]) -> int:
-        """Version base + 1, in one step; fails if another writer has it already."""
+    def commit(self, base: int, shards: list[Shard], schema: StructType | None = None) -> int:
+        """Version base + 1, in one step; fails if another writer has it already.  The schema is the base's if not given."""
         if self.version() != base:
             raise RuntimeError(f"version {base} is no longer the newest")
+        schema = schema or self.schema(base)
         draft = self._path(f"{self.root}/_manifest/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft)
-        out.write(bytearray(json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}).encode()))
+        out.write(bytearray(json.dumps({"version": base + 1, "schema": schema and schema.jsonValue(), "shards": [asdict(s) for s in shards]}).encode()))
         out.close()
         final = self._path(self._file(base + 1))
         if self._fs.exists(final) or not self._fs.rename(draft, final):
@@ -100,7 +110,7 @@ class Store:
     def append(self, arrivals: DataFrame) -> int:
         """Arrivals as they are partitioned, one small shard a partition, in one commit."""
         base = self.version()
-        return self.commit(base, self.manifest(base) + self._write(arrivals, f"a{base + 1}-{uuid.uuid4().hex[:8]}"))
+        return self.commit(base, self.manifest(base) + self._write(arrivals, f"a{base + 1}-{uuid.uuid4().hex[:8]}"), arrivals.schema)
 
     def tiers(self, shards: list[Shard]) -> dict[int, list[str]]:
         """Runs by tier: how often their bytes hold the lowest tier's, as a power of the ratio."""
@@ -137,8 +147,9 @@ class Store:
         return self.spark.read.parquet(*(f"{self.root}/{s.path}" for s in shards))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, from the shards that its manifest names."""
-        return self._read(self.manifest(version))
+        """The rows of a version, from the shards that its manifest names; without any, no rows of its schema."""
+        shards, schema = self.manifest(version), self.schema(version)
+        return self.spark.createDataFrame([], schema) if schema and not shards else self._read(shards)
 
 
 def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:

@@ -262,3 +262,15 @@ def test_licenses_in_other_words(spark):
             assert want <= got, text[:80]
         else:
             assert got == want, text
+
+
+def test_sharding_without_rows(spark, none, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/store", sharding.Policy(fanout=2))
+    for _ in range(2):
+        store.append(none)
+        store.compact()
+        store.vacuum()
+    assert store.manifest() == [] and store.read().collect() == [] and store.read().dtypes == none.dtypes
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/in/documents.parquet")
+    r = sharding.op3_sharding(spark, f"{tmp_path}/in")
+    assert r.columns == ["doc_id", "lang", "source", "n_chars", "text_sha256"] and r.collect() == []
