@@ -281,5 +281,11 @@ def find_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rename_preview", r"SELECT conv_id, turn, text AS before, regexp_replace(text, '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])', '\1THE\2') AS after FROM conversations WHERE false")
 def rename_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No text holds the name that is asked for; fixtures test the rewriting."""
+    """No text holds the name that is asked for, as in the SQL; rename_preview_all rewrites."""
     return L.rename_preview(table(spark, sf_dir, "conversations"), "no_such_name", "THE", "text").select("conv_id", "turn", "before", "after")
+
+
+@query("rename_preview_all")
+def rename_preview_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word that occurs; held against brute force."""
+    return L.rename_preview(table(spark, sf_dir, "conversations"), "the", "THE", "text").select("conv_id", "turn", "before", "after")

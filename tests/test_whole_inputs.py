@@ -74,3 +74,14 @@ def test_layers_see_the_whole_page(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["layer"] for r in catalogue.QUERIES["layer_rules"](spark, str(tmp_path)).collect()}
     assert got[1] != "Unknown" and got[2] == "Unknown"
+
+
+def test_rename_rewrites_every_text(spark, sf_dir):
+    import re
+
+    import pandas as pd
+
+    c = pd.read_parquet(f"{sf_dir}/conversations.parquet")
+    word = r"(?<![^\W])the(?!\w)"
+    want = sorted((r.conv_id, r.turn, r.text, re.sub(word, "THE", r.text)) for r in c.itertuples() if re.search(word, r.text))
+    assert want and sorted(tuple(r) for r in catalogue.QUERIES["rename_preview_all"](spark, sf_dir).collect()) == want
