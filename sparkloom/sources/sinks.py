@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.tables import known_dimensions
+
 
 def save_snapshot(tables: dict[str, DataFrame], root: str) -> None:
     """One folder a table, partitioned by project where the table has one."""
@@ -50,8 +52,9 @@ def without_project(rows: DataFrame, project: str) -> DataFrame:
     return rows.where(F.col("project_id") != project)
 
 
-def checked_vectors(df: DataFrame, dims: int = 768, column: str = "embedding") -> DataFrame:
-    """Fails at run time on a vector of another dimension."""
+def checked_vectors(df: DataFrame, dims: int = 768, column: str = "embedding", model: str | None = None) -> DataFrame:
+    """Fails at run time on a vector of another dimension: the model's if it is known, else dims."""
+    dims = known_dimensions(model or "") or dims
     return df.withColumn(column, F.when(F.size(column) == dims, F.col(column)).otherwise(F.raise_error(F.lit(f"expected {dims} dimensions"))))
 
 

@@ -163,8 +163,12 @@ def manifest(path: str) -> dict:
         return {}
 
 
-#: Dimensions of known embedding models.
-DIMENSIONS = {"nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384, "text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
+#: Dimensions of embedding models whose name holds a part; the first part that it holds counts.
+DIMENSIONS = {"nomic-embed-text": 768, "mxbai-embed-large": 1024, "text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "all-minilm": 384, "bge-large": 1024, "bge-small": 512, "e5-large": 1024, "e5-small": 384}
+
+
+def known_dimensions(model: str) -> int | None:
+    return next((n for part, n in DIMENSIONS.items() if part in model), None)
 
 
 def embedded(df: DataFrame, provider, text_column: str = "text") -> DataFrame:

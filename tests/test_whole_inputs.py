@@ -85,3 +85,14 @@ def test_rename_rewrites_every_text(spark, sf_dir):
     word = r"(?<![^\W])the(?!\w)"
     want = sorted((r.conv_id, r.turn, r.text, re.sub(word, "THE", r.text)) for r in c.itertuples() if re.search(word, r.text))
     assert want and sorted(tuple(r) for r in catalogue.QUERIES["rename_preview_all"](spark, sf_dir).collect()) == want
+
+
+def test_known_dimensions(spark):
+    from sparkloom.sources import sinks, tables
+
+    known = {"BAAI/bge-large-en": 1024, "bge-small": 512, "intfloat/e5-large-v2": 1024, "e5-small": 384, "nomic-embed-text:latest": 768, "mxbai-embed-large": 1024, "all-minilm:l6": 384, "text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": None}
+    assert {m: tables.known_dimensions(m) for m in known} == known
+    v = spark.createDataFrame([([0.0] * 384,)], "embedding array<float>")
+    assert sinks.checked_vectors(v, model="e5-small").count() == len(sinks.checked_vectors(v, model="e5-small").collect()) == 1
+    with pytest.raises(Exception, match="expected 512"):
+        sinks.checked_vectors(v, model="bge-small").collect()
