@@ -7,27 +7,33 @@ the rank-first merging of byte-level BPE, and its ids are the ranks.  Texts are
 cut into pre-tokens by the vocabulary's pattern and each is encoded by itself.
 
 Row-local in Python: a scan, one Arrow stage, no shuffle.  A worker keeps the
-encodings of up to CACHED pre-tokens and starts afresh beyond; long texts are
-worked through in stretches, so memory is bounded by one text and its ids.
+ids of a bounded number of stretches; long texts are worked through in chunks,
+so memory is bounded by one text and its ids.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import itertools
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import gathered, small_batches
+from sparkloom.llm.batches import small_batches
 from sparkloom.llm.common import table
+from sparkloom.llm.stretches import TOGETHER, Stretches, gathered_ranges, regrouped
 
-CACHED, STRETCH = 1 << 18, 1 << 16
+#: The pattern whose pre-tokens begin at single spaces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Put before such spaces for Arrow to split at; texts that hold it are cut in Python.
+MARK = "\x1e"
+_SPACE = re.compile(r"(?<=[^ \t\n\v\f\r]) (?=[^ \t\n\v\f\r])")
 #: Fixed values of sentencepiece's model file: field numbers and enum values of its public schema.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, BPE = 1, 2, 2
@@ -79,7 +85,12 @@ def serialised(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes whole texts."""
+    """Encodes and decodes whole texts.
+
+    With PATTERN, a single space between two other characters that aren't white
+    space begins a pre-token, so texts are cut there and each distinct stretch is
+    encoded once; with another pattern a stretch is a text.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -87,38 +98,48 @@ class Codec:
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=serialised(ranks))
         self.pattern = regex.compile(pattern)
-        self.bytes_of = sorted(ranks, key=ranks.get)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.known) + len(tokens) > CACHED:
-            self.known = {}
-        new = list(tokens)
-        ids = self.pieces.encode([mapped(t.encode()) for t in new], num_threads=1)
-        self.known.update((t, np.array(i, "<u4").tobytes()) for t, i in zip(new, ids, strict=True))
+        self.cuttable = pattern == PATTERN
+        own = sorted(ranks, key=ranks.get)
+        self.bytes_of = np.frombuffer(b"".join(own), np.uint8)
+        self.sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.stretches = Stretches(self._learn)
+
+    def _learn(self, stretches: list[str]) -> list[bytes]:
+        """Each pre-token of each stretch is encoded by itself."""
+        cut = [self.pattern.findall(x) for x in stretches]
+        ids = iter(self.pieces.encode([mapped(t.encode()) for x in cut for t in x], num_threads=1))
+        return [np.array([i for _ in x for i in next(ids)], "<u4").tobytes() for x in cut]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(text) < STRETCH * 8:
-            return self._encoded(self.pattern.findall(text))
-        found, out = (m.group() for m in self.pattern.finditer(text)), []
-        while some := list(itertools.islice(found, STRETCH)):
-            out.append(self._encoded(some))
-        return b"".join(out)
-
-    def _encoded(self, tokens: list[str]) -> bytes:
-        try:
-            return b"".join([self.known[t] for t in tokens])
-        except KeyError:
-            new = set(tokens)
-            self._learn({t for t in new if t not in self.known})
-        if not all(t in self.known for t in new):  # the store was emptied meanwhile
-            self._learn({t for t in new if t not in self.known})
-        return b"".join([self.known[t] for t in tokens])
-
-    def decode(self, ids: bytes) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return self.ids_of(pa.array([text], pa.string()))[0].tobytes()
+
+    def ids_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; together they are a few MB, or one long text, which is worked through in chunks."""
+        if not self.cuttable:
+            return [np.frombuffer(self._learn([t])[0], "<u4") for t in texts.to_pylist()]
+        if len(texts) == 1 and len(text := texts[0].as_py()) > TOGETHER:
+            return [np.concatenate([x for c in _chunks(text) for x in self._ids(pa.array([c], pa.string()))])]
+        return self._ids(texts)
+
+    def _ids(self, texts: pa.Array) -> list[np.ndarray]:
+        if pc.any(pc.match_substring(texts, MARK)).as_py():
+            return self.stretches.ids(pa.array([_SPACE.sub(MARK + " ", t).split(MARK) if MARK not in t else [t] for t in texts.to_pylist()], pa.list_(pa.string())))
+        return self.stretches.ids(pc.split_pattern(pc.replace_substring_regex(texts, r"([^ \t\n\v\f\r]) ([^ \t\n\v\f\r])", rf"\1{MARK} \2"), MARK))
+
+    def decode(self, ids: bytes | np.ndarray) -> bytes:
+        at = np.frombuffer(ids, "<u4")
+        return gathered_ranges(self.bytes_of, self.starts[at], self.sizes[at]).tobytes()
+
+
+def _chunks(text: str) -> Iterator[str]:
+    """Chunks of about TOGETHER characters that end before such a space; a longer stretch without one is one chunk."""
+    at = 0
+    while len(text) - at > TOGETHER and (m := _SPACE.search(text, at + TOGETHER)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 @functools.lru_cache(maxsize=2)
@@ -139,16 +160,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            kept, texts = [b.column(k) for k in range(len(keep))], b.column(len(keep))
-            start, held, size = 0, [], 0
-            for k in range(len(texts)):
-                ids = c.encode(texts[k].as_py())
-                held.append((ids, c.decode(ids)) if decoded else (ids,))
-                size += len(ids)
-                if size >= 8 << 20 or k == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays([x.slice(start, len(held)) for x in kept] + [pa.array(x, pa.binary()) for x in zip(*held, strict=True)], names=[*keep, "ids"] + ["decoded"] * decoded)
-                    start, held, size = k + 1, [], 0
+        for b in regrouped(batches, len(keep)):
+            found = c.ids_of(b.column(len(keep)))
+            columns = [pa.array([x.tobytes() for x in found], pa.binary())]
+            if decoded:
+                columns.append(pa.array([c.decode(x) for x in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *columns], names=[*keep, "ids"] + ["decoded"] * decoded)
 
     return d.mapInArrow(run, ", ".join(out))
 

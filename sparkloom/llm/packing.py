@@ -93,7 +93,10 @@ class Tokens:
         if not self.cuttable:
             return [np.frombuffer(self._learn([t])[0], "<u4") for t in texts.to_pylist()]
         if len(texts) == 1 and len(text := texts[0].as_py()) > TOGETHER:
-            return [np.concatenate([x for c in _chunks(text) for x in self.ids_of(pa.array([c], pa.string()))])]
+            return [np.concatenate([x for c in _chunks(text) for x in self._ids(pa.array([c], pa.string()))])]
+        return self._ids(texts)
+
+    def _ids(self, texts: pa.Array) -> list[np.ndarray]:
         low = pc.ascii_lower(texts)
         odd = np.zeros(len(texts), bool)
         for x in self.added:

@@ -92,6 +92,25 @@ def test_bpe(docs, none):
     assert sorted(bytes(x["decoded"]) for x in again) == sorted((t or "").encode() for _, t, *_ in ROWS)
 
 
+def test_bpe_as_the_library():
+    """Random runs of spaces, line ends, Unicode white space, marks and apostrophes; a long text; another pattern."""
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    other = r"\p{L}+|\s|[^\p{L}\s]+"
+    random.seed(8)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\x1e", "\x1c", "\u00a0", "\u2028", "\u3000", "a", "b", "word", "'s", "'ll", "1", "22", "!", "\u00e9", "e\u0301", "\U0001f600", "\x00"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(30))) for _ in range(3000)]
+    for pattern, some in ((bpe.PATTERN, [*texts, "a b  c\n" * 700_000]), (other, texts[:300])):
+        e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        own = bpe.codec(path, pattern)
+        for t, ids in zip(some[:3000], own.ids_of(bpe.pa.array(some[:3000])), strict=True):
+            assert ids.tolist() == e.encode_ordinary(t), t
+            assert own.decode(ids) == t.encode()
+        assert own.encode(some[-1]) == np.array(e.encode_ordinary(some[-1]), "<u4").tobytes()
+
+
 def test_bpe_needs_all_bytes():
     with pytest.raises(ValueError):
         bpe.serialised({b"a": 0, b"b": 1})
@@ -192,7 +211,7 @@ def test_tokens_as_the_library():
     from tokenizers import Tokenizer
 
     t, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.Tokens(P.path("word_bpe_49k.json"))
-    for text in ["Don't STOP, now... 3.14!", "É.é, İ. é.", "a b　c d", "<|endoftext|>. x <|startoftext|>,", "", "  ", "word.,;", "K.", "don't'll 'S.", "<|STARTOFTEXT|> a.", "x.\v\fy,\r\nz", "a\u0301. e\u0301, \u00a0b", "word, " * 900_000]:
+    for text in ["Don't STOP, now... 3.14!", "É.é, İ. é.", "a b　c d", "<|endoftext|>. x <|startoftext|>,", "", "  ", "word.,;", "K.", "don't'll 'S.", "<|STARTOFTEXT|> a.", "x.\v\fy,\r\nz", "a\u0301. e\u0301, \u00a0b", "word, " * 900_000, "#" * (packing.TOGETHER + 5) + " a."]:
         assert own.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
