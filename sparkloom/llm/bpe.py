@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import small_batches
 from sparkloom.llm.common import table
-from sparkloom.llm.stretches import TOGETHER, Stretches, gathered_ranges, regrouped
+from sparkloom.llm.stretches import CLOSING, TOGETHER, Stretches, gathered_ranges, regrouped
 
 #: The pattern whose pre-tokens begin at single spaces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,8 +88,9 @@ class Codec:
     """Encodes and decodes whole texts.
 
     With PATTERN, a single space between two other characters that aren't white
-    space begins a pre-token, so texts are cut there and each distinct stretch is
-    encoded once; with another pattern a stretch is a text.
+    space begins a pre-token, and so does closing punctuation after a letter or
+    digit; texts are cut there and each distinct stretch is encoded once.  With
+    another pattern a stretch is a text.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -126,7 +127,8 @@ class Codec:
     def _ids(self, texts: pa.Array) -> list[np.ndarray]:
         if pc.any(pc.match_substring(texts, MARK)).as_py():
             return self.stretches.ids(pa.array([_SPACE.sub(MARK + " ", t).split(MARK) if MARK not in t else [t] for t in texts.to_pylist()], pa.list_(pa.string())))
-        return self.stretches.ids(pc.split_pattern(pc.replace_substring_regex(texts, r"([^ \t\n\v\f\r]) ([^ \t\n\v\f\r])", rf"\1{MARK} \2"), MARK))
+        marked = pc.replace_substring_regex(texts, CLOSING, rf"\1{MARK}\2\3")
+        return self.stretches.ids(pc.split_pattern(pc.replace_substring_regex(marked, r"([^ \t\n\v\f\r]) ([^ \t\n\v\f\r])", rf"\1{MARK} \2"), MARK))
 
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         at = np.frombuffer(ids, "<u4")
