@@ -47,26 +47,41 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Bits of the map of ids that ``maybe`` broadcasts: 2**18 rows of two longs at most, whatever the number of ids.
-MAP_BITS = 24
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def maybe(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """df with ``_maybe``: false only where key is none of ids (one column, named key).
+#: Bits of the map of ids that ``maybe`` broadcasts: sixteen an id, within these bounds (as powers of two); at most 2**21 rows of two longs.
+MAP_BITS = (20, 27)
 
-    A one-hash Bloom filter of fixed size, made by an aggregate of bits into
-    words and joined by broadcast.  With more ids than it can tell apart it lets
-    more through and stays right; it spares the rows it excludes a shuffle.
+
+def maybe(df: DataFrame, key: str, ids: DataFrame, flag: str, n_ids: int) -> DataFrame:
+    """df with a column flag: false only where key is none of ids (one column, named key; about n_ids of them).
+
+    A one-hash Bloom filter, made by an aggregate of bits into words and joined
+    by broadcast.  With more ids than the largest map can tell apart it lets more
+    through and stays right; it spares the rows it excludes a shuffle.
     """
-    bit = lambda c: F.xxhash64(c).bitwiseAND((1 << MAP_BITS) - 1)
-    words = ids.where(F.col(key).isNotNull()).select(bit(F.col(key)).alias("_b")).groupBy(F.shiftright("_b", 6).alias("_word"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits"))
-    d = df.withColumn("_b", bit(F.col(key))).withColumn("_word", F.shiftright("_b", 6)).join(F.broadcast(words), "_word", "left")
-    hit = F.coalesce(F.expr("(_bits & shiftleft(1L, cast(_b & 63 as int))) != 0"), F.lit(False)) & F.col(key).isNotNull()
-    return d.withColumn("_maybe", hit).select(*df.columns, "_maybe")
+    bits = min(max((16 * n_ids).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+    place, word, found = fresh(df, "place", "word", "found")
+    bit = lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1)
+    at = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63 as int))")
+    words = ids.where(F.col(key).isNotNull()).select(bit(F.col(key)).alias(place)).groupBy(F.shiftright(place, 6).alias(word)).agg(F.bit_or(at(place)).alias(found))
+    d = df.withColumn(place, bit(F.col(key))).withColumn(word, F.shiftright(place, 6)).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.col(found).bitwiseAND(at(place)) != 0, F.lit(False)) & F.col(key).isNotNull()
+    return d.withColumn(flag, hit).select(*df.columns, flag)
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose key is none of ids; only those that may be are shuffled for an exact test."""
-    marked = maybe(df, key, ids)
-    return marked.where("NOT _maybe").drop("_maybe").unionByName(marked.where("_maybe").drop("_maybe").join(ids.hint("merge"), key, "left_anti"))
+    """The rows of df whose key is none of ids (distinct, written); only those that may be are shuffled for an exact test."""
+    (flag,) = fresh(df, "maybe")
+    marked = maybe(df, key, ids, flag, ids.count())
+    return marked.where(~F.col(flag)).drop(flag).unionByName(marked.where(flag).drop(flag).join(ids.hint("merge"), key, "left_anti"))

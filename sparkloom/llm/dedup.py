@@ -103,7 +103,7 @@ def links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     members = members.select(F.col("rep").alias("doc_id"), "pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Most texts are in no group: a map of fixed size keeps them out of the shuffle.
-    texts = maybe(texts, "doc_id", stars.select(F.col("rep").alias("doc_id"))).where("_maybe").drop("_maybe")
+    texts = maybe(texts, "doc_id", stars.select(F.col("rep").alias("doc_id")), "_maybe", stars.count()).where("_maybe").drop("_maybe")
     units = texts.join(members.hint("merge"), "doc_id").select("pivot", "low", "high", "doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = units.repartition(n, "pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "doc_id")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import let, table
+from sparkloom.llm.common import fresh, let, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -38,15 +38,16 @@ class Rule:
 
 
 #: The production table.  Length bounds catch junk tokens, symbols catch markup
-#: residue, stop words catch lists that aren't prose, lines catch repetition.
+#: residue, stop words catch lists that aren't prose, lines catch repetition
+#: (by their number and by their characters), lists and text cut short.
 RULES = (
-    Rule("n_words", low=50),
     Rule("mean_word_chars", low=2.0, high=20.0),
     Rule("symbols_per_word", high=0.25),
     Rule("stop_word_share", low=0.01, min_words=80),
     Rule("dup_line_share", high=0.5),
-    Rule("dup_line_char_proxy", high=0.6),
+    Rule("dup_line_char_share", high=0.5),
     Rule("bullet_line_share", high=0.9),
+    Rule("ellipsis_line_share", high=0.5),
 )
 
 
@@ -96,30 +97,34 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts that the ratios are made of; null text counts as empty."""
     raw = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(raw, "\n"), lambda x: x.rlike(WORD))
-    d = docs.withColumn("_words", words_of(raw)).withColumn("_lines", lines)
+    w, x_ = fresh(docs, "words", "lines")
+    d = docs.withColumn(w, words_of(raw)).withColumn(x_, lines)
     chars = lambda c: F.length(c).cast("long")
     return d.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": chars(F.array_join("_words", "")),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": chars(F.array_join(w, "")),
         "n_symbols": chars(F.regexp_replace(raw, f"[^{SYMBOLS}]+", "")),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long"),
-        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_words")),
-    }).drop("_words", "_lines")
+        "n_lines": F.size(x_).cast("long"),
+        "n_dup_lines": (F.size(x_) - F.size(F.array_distinct(x_))).cast("long"),
+        "line_chars": chars(F.array_join(x_, "")),
+        "dup_line_chars": chars(F.array_join(x_, "")) - chars(F.array_join(F.array_distinct(x_), "")),
+        "n_bullet_lines": F.size(F.filter(x_, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long"),
+        "n_ellipsis_lines": F.size(F.filter(x_, lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long"),
+        "n_stop_words": F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long"),
+        "n_repeat_words": repeat_words(F.col(w)),
+    }).drop(w, x_)
 
 
 def ratios() -> dict[str, Column]:
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return {
-        "n_words": F.col("n_words").cast("double"),
         "mean_word_chars": per("word_chars", "n_words"),
         "symbols_per_word": per("n_symbols", "n_words"),
         "stop_word_share": per("n_stop_words", "n_words"),
         "dup_line_share": per("n_dup_lines", "n_lines"),
-        "dup_line_char_proxy": per("n_repeat_words", "n_words"),
+        "dup_line_char_share": per("dup_line_chars", "line_chars"),
         "bullet_line_share": per("n_bullet_lines", "n_lines"),
+        "ellipsis_line_share": per("n_ellipsis_lines", "n_lines"),
     }
 
 
@@ -164,13 +169,15 @@ m AS (
          (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullet,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis,
+         length(array_to_string(ls, '')) AS line_chars, length(array_to_string(ls, '')) - length(array_to_string(list_distinct(ls), '')) AS dup_line_chars,
          len(list_filter(ws, lambda x: x IN ({_STOPS}))) AS n_stop
   FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words >= 50 AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 20
+       NOT base_failed AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 20
        AND n_symbols / greatest(n_words, 1) <= 0.25 AND (n_words < 80 OR n_stop / greatest(n_words, 1) >= 0.01)
-       AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND n_repeat_words / greatest(n_words, 1) <= 0.6
-       AND n_bullet / greatest(n_lines, 1) <= 0.9 AS kept
+       AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND dup_line_chars / greatest(line_chars, 1) <= 0.5
+       AND n_bullet / greatest(n_lines, 1) <= 0.9 AND n_ellipsis / greatest(n_lines, 1) <= 0.5 AS kept
 FROM b
 """
