@@ -4,14 +4,15 @@ A labelled page is one Bernoulli outcome of its host.  Outcomes are shrunk down
 a chain of beta-binomial priors: suffix toward the whole, registered domain
 toward its suffix, host toward its registered domain.  The prior's strength at
 each level comes from the data (method of moments on the level's groups).  A
-page without a rule is blocked if the upper posterior bound of its host's share
-of good pages stays below a threshold.
+page without a rule is blocked if its host's share of good pages lies below a
+multiple of the overall rate even at its upper posterior bound, a quantile of the
+beta distribution.
 
 Plan: outcomes are counted per host with map-side combining before anything is
 shuffled, so a hot host costs one row a task.  Suffix and domain tables are
 aggregates of the host table.  Rows meet them in ordinary joins on slim columns
 (never html); AQE splits a skewed host's partition, since the other side has one
-row a key.  The only values that reach the driver are three prior strengths and
+row a key.  The host table is written once.  The only values that reach the driver are three prior strengths and
 the overall rate.
 """
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ascii_lower, table
+from sparkloom.llm.common import ascii_lower, fresh, table, written
 
 #: The query's rules; the longest that fits wins.
 RULES = (
@@ -38,14 +39,24 @@ SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 @dataclass(frozen=True)
 class Reputation:
-    """bound: block below it.  z: normal quantile of the posterior bound.  low, high: limits of a prior's strength."""
+    """block: below this multiple of the overall rate.  z: normal quantile of the posterior bound.  low, high: limits of a prior's strength."""
 
-    bound: float = 0.5
-    z: float = 1.645
+    block: float = 1.0
+    z: float = 0.8416
     low: float = 2.0
     high: float = 200.0
 
 
+def beta_upper(mean: Column, weight: Column, z: float) -> Column:
+    """The quantile of the beta distribution (mean, weight) that the normal quantile z names, by the closed approximation of Abramowitz and Stegun, 26.5.22; weight of 2 or more."""
+    a, b = F.greatest(mean * weight, F.lit(1.0)), F.greatest((1 - mean) * weight, F.lit(1.0))
+    ia, ib = 1 / (2 * a - 1), 1 / (2 * b - 1)
+    h = 2 / (ia + ib)
+    lam = (z * z - 3) / 6
+    w = -z * F.sqrt(h + lam) / h - (ib - ia) * (lam + 5 / 6 - 2 / (3 * h))
+    return a / (a + b * F.exp(2 * w))
+
+
 def host(url: Column) -> Column:
     """From after the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
     rest = F.when(F.locate("://", url) > 0, F.substring(url, F.locate("://", url) + 3, F.length(url)))
@@ -94,7 +105,7 @@ def reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> tuple[DataF
     Rows with a null or empty host, or a null outcome, teach nothing.
     """
     counts = outcomes.where("host != '' AND good IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    counts = counts.withColumn("suffix", suffix(F.col("host"))).withColumn("domain", registered(F.col("host"), F.col("suffix")))
+    counts = written(counts.withColumn("suffix", suffix(F.col("host"))).withColumn("domain", registered(F.col("host"), F.col("suffix"))), "hosts")
     sums = (F.sum("n").alias("n"), F.sum("good").alias("good"))
     domains = counts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
@@ -105,8 +116,8 @@ def reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> tuple[DataF
         k = _strength(level, mean, p)
         return level.withColumn(names[0], (F.col("good") + k * mean) / (F.col("n") + k)).withColumn(names[1], F.col("n") + k).drop("n", "good")
 
-    s = post(suffixes, F.lit(root), ("m_suffix", "w_suffix"))
-    d = post(domains.join(s, "suffix"), F.col("m_suffix"), ("m_domain", "w_domain")).drop("m_suffix", "w_suffix", "suffix")
+    s = post(suffixes, F.lit(root), ("m_suffix", "w_suffix")).select("suffix", "m_suffix", "w_suffix")
+    d = post(domains.join(s, "suffix"), F.col("m_suffix"), ("m_domain", "w_domain")).select("domain", "m_domain", "w_domain")
     h = post(counts.join(d, "domain"), F.col("m_domain"), ("m_host", "w_host")).select("host", "m_host", "w_host")
     return h, d, s, (root, 2.0 + (total["n"] or 0))
 
@@ -117,20 +128,25 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, p: Reputation = Re
     Null urls and urls without :// have an empty host and path, fit no rule and
     are judged by the overall rate.  Hosts without a labelled page take their
     domain's posterior, then their suffix's, then the overall one.  Repeated
-    rows are judged alike.  outcomes: (host, good); without any, all is allowed.
+    rows are judged alike; an empty table gives an empty result; columns of pages
+    that are named like a result are replaced, others stay whatever their names.
+    outcomes: (host, good); without any, all is allowed.
     """
     h, d, s, (root, weight) = reputation(outcomes, p)
-    at = pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
-    at = at.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("suffix", suffix(F.col("host"))).withColumn("domain", registered(F.col("host"), F.col("suffix")))
-    at = at.join(h, "host", "left").join(d, "domain", "left").join(s, "suffix", "left")
-    mean = F.coalesce("m_host", "m_domain", "m_suffix", F.lit(root))
-    n = F.coalesce("w_host", "w_domain", "w_suffix", F.lit(weight))
-    upper = F.least(F.lit(1.0), mean + p.z * F.sqrt(mean * (1 - mean) / (n + 1)))
+    results = ("host", "path", "rule", "good_share", "good_upper", "verdict")
+    at = pages.drop(*(c for c in pages.columns if c.lower() in results))
+    below, above, mh, wh, md, wd, ms, ws = fresh(at, "suffix", "domain", "m_host", "w_host", "m_domain", "w_domain", "m_suffix", "w_suffix")
+    kept = at.columns
+    at = at.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
+    at = at.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn(below, suffix(F.col("host"))).withColumn(above, registered(F.col("host"), F.col(below)))
+    at = at.join(h.toDF("host", mh, wh), "host", "left").join(d.toDF(above, md, wd), above, "left").join(s.toDF(below, ms, ws), below, "left")
+    mean, n = F.coalesce(mh, md, ms, F.lit(root)), F.coalesce(wh, wd, ws, F.lit(weight))
     said = F.lit(None).cast("string")
     for rule, what in rules:
         said = F.when(F.col("rule") == rule, what).otherwise(said)
-    out = at.withColumn("good_share", F.round(mean, 6)).withColumn("good_upper", F.round(upper, 6))
-    return out.withColumn("verdict", F.coalesce(said, F.when(F.col("good_upper") < p.bound, "block").otherwise("allow"))).drop("m_host", "w_host", "m_domain", "w_domain", "m_suffix", "w_suffix", "suffix", "domain")
+    out = at.withColumn("good_share", F.round(mean, 6)).withColumn("good_upper", F.round(beta_upper(mean, n, p.z), 6))
+    bad = F.col("good_upper") < round(p.block * root, 6)
+    return out.withColumn("verdict", F.coalesce(said, F.when(bad, "block").otherwise("allow"))).select(*kept, *results)
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,8 +195,11 @@ h0 AS (SELECT hc.*, m_d FROM hc JOIN d USING (domain)), kh AS {strength('h0', 'm
 h AS (SELECT host, (good + k * m_d) / (n + k) AS m_h, n + k AS w_h FROM h0, kh),
 z AS (SELECT page_id, host, path, rule, coalesce(m_h, m_d, m_s, r) AS m, coalesce(w_h, w_d, w_s, w) AS wt
       FROM y LEFT JOIN h USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix), root),
-e AS (SELECT *, round(m, 6) AS good_share, round(least(1.0, m + {p.z} * sqrt(m * (1 - m) / (wt + 1))), 6) AS good_upper FROM z)
-SELECT page_id, host, path, rule, coalesce(CASE {said} END, CASE WHEN good_upper < {p.bound} THEN 'block' ELSE 'allow' END) AS verdict, good_share, good_upper FROM e
+ab AS (SELECT *, greatest(m * wt, 1.0::DOUBLE) AS a, greatest((1 - m) * wt, 1.0::DOUBLE) AS b FROM z),
+hh AS (SELECT *, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h, 1 / (2 * b - 1) - 1 / (2 * a - 1) AS skew, {(p.z * p.z - 3) / 6!r}::DOUBLE AS lam FROM ab),
+e AS (SELECT page_id, host, path, rule, round(m, 6) AS good_share,
+      round(a / (a + b * exp(2 * (-{p.z}::DOUBLE * sqrt(h + lam) / h - skew * (lam + {5 / 6!r}::DOUBLE - 2 / (3 * h))))), 6) AS good_upper FROM hh)
+SELECT page_id, host, path, rule, coalesce(CASE {said} END, CASE WHEN good_upper < round({p.block}::DOUBLE * r, 6) THEN 'block' ELSE 'allow' END) AS verdict, good_share, good_upper FROM e, root
 """
 
 
