@@ -5,11 +5,14 @@ never rewritten), ``_manifest/v<k>.json`` lists the live shards of version k wit
 their bytes, rows and run.  An append writes its arrivals as small shards and
 commits.  Compaction groups the live runs into tiers by the logarithm of their
 size; a tier of FANOUT or more runs is rewritten as one run of target-sized
-shards, and the new manifest replaces the old in one step: it is written under
-another name and renamed, and a rename onto an existing version fails, so of two
-writers one loses and retries.  Readers open the shards a manifest names, so they
-see a whole version; a lost executor costs only its tasks, since nothing counts
-before the commit.
+shards.  A new manifest is written under another name and renamed, and a rename
+onto an existing version fails, so of two writers one loses; it reads the newer
+version and commits its shards on top of that (an append always can, a merge if
+the runs it merged are still live).  Readers open the shards a manifest names, so
+they see a whole version; a lost executor costs only its tasks, since nothing
+counts before the commit.  The rename must be one step that never replaces, as in
+HDFS; on an object store without such a step keep the manifests on a file system
+that has it.
 
 Shards are Spark jobs: scan, coalesce to the number of target-sized files, and
 write; nothing is shuffled.  The driver holds file metadata only.
@@ -19,14 +22,16 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkloom.llm.common import shared_dir, table
+from sparkloom.llm.common import fresh, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,10 @@ class Shard:
     run: str
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class Store:
     """A versioned set of immutable shards under a folder that all executors share."""
 
@@ -87,7 +96,11 @@ class Store:
     def commit(self, base: int, shards: list[Shard], schema: StructType | None = None) -> int:
         """Version base + 1, in one step; fails if another writer has it already.  The schema is the base's if not given."""
         if self.version() != base:
-            raise RuntimeError(f"version {base} is no longer the newest")
+            raise Conflict(f"version {base} is no longer the newest")
+        before = {s.run for s in self.manifest(base)}
+        for run in sorted({s.run for s in shards} - before):
+            if not self._fs.exists(self._path(f"{self.root}/data/{run}")):
+                raise RuntimeError(f"the shards of {run} are gone")
         schema = schema or self.schema(base)
         draft = self._path(f"{self.root}/_manifest/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft)
@@ -96,21 +109,58 @@ class Store:
         final = self._path(self._file(base + 1))
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             self._fs.delete(draft, False)
-            raise RuntimeError(f"version {base + 1} was committed by another writer")
+            raise Conflict(f"version {base + 1} was committed by another writer")
         return base + 1
 
+    def _written(self, schema: StructType, where: str, depth: int) -> list[Shard]:
+        """The shards in a folder of finished files; a run is a folder depth levels below data.  Rows come from the files' own footers, as Spark's metadata column tells them."""
+        if not self._fs.exists(self._path(f"{self.root}/{where}")):
+            return []
+        files: dict[str, int] = {}
+        found = self._fs.listFiles(self._path(f"{self.root}/{where}"), True)
+        while found.hasNext():
+            f = found.next()
+            if f.getPath().getName().endswith(".parquet"):
+                files["/".join(f.getPath().toString().split("/")[-depth - 1 :])] = f.getLen()
+        if not files:
+            return []
+        name = F.expr(f"array_join(slice(split(_metadata.file_path, '/'), {-depth - 1}, {depth + 1}), '/')")
+        lines = self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{x}" for x in sorted({n.rpartition("/")[0] for n in files})))
+        rows = {r["name"]: r["n"] for r in lines.groupBy(name.alias("name")).agg(F.count("*").alias("n")).collect()}
+        return [Shard(f"data/{n}", size, rows[n], n.rpartition("/")[0]) for n, size in sorted(files.items()) if rows.get(n)]
+
     def _write(self, df: DataFrame, run: str) -> list[Shard]:
-        """df's partitions as the shards of a new run; rows come from the files' own footers, as Spark's metadata column tells them."""
-        where = f"{self.root}/data/{run}"
-        df.write.parquet(where)
-        files = {f.getPath().getName(): f.getLen() for f in self._fs.listStatus(self._path(where)) if f.getPath().getName().endswith(".parquet")}
-        rows = {r["name"]: r["n"] for r in self.spark.read.schema(df.schema).parquet(where).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()}
-        return [Shard(f"data/{run}/{n}", size, rows[n], run) for n, size in sorted(files.items()) if rows.get(n)]
+        """df's partitions as the shards of a new run."""
+        df.write.parquet(f"{self.root}/data/{run}")
+        return self._written(df.schema, f"data/{run}", 1)
+
+    def _add(self, shards: list[Shard], schema: StructType, tries: int = 100) -> int:
+        """Commits shards on top of whatever version is the newest."""
+        for _ in range(tries):
+            base = self.version()
+            try:
+                return self.commit(base, self.manifest(base) + shards, schema)
+            except Conflict:
+                time.sleep(0.05)
+        raise Conflict(f"{tries} other writers were first")
 
     def append(self, arrivals: DataFrame) -> int:
         """Arrivals as they are partitioned, one small shard a partition, in one commit."""
-        base = self.version()
-        return self.commit(base, self.manifest(base) + self._write(arrivals, f"a{base + 1}-{uuid.uuid4().hex[:8]}"), arrivals.schema)
+        return self._add(self._write(arrivals, f"a{uuid.uuid4().hex[:12]}"), arrivals.schema)
+
+    def append_lots(self, arrivals: DataFrame, lot: Column, n: int) -> Iterator[int]:
+        """Lots 0 to n - 1 (a whole number of each row) as one run each, from one scan; each step of the iterator commits the next lot."""
+        (name,) = fresh(arrivals, "lot")
+        setting, where = "spark.sql.maxConcurrentOutputFileWriters", f"l{uuid.uuid4().hex[:12]}"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, str(n))  # a file a lot is open in each task, so that rows aren't sorted by lot
+        try:
+            arrivals.withColumn(name, lot.cast("int")).write.partitionBy(name).parquet(f"{self.root}/data/{where}")
+        finally:
+            self.spark.conf.set(setting, before)
+        shards = self._written(arrivals.schema, f"data/{where}", 2)
+        for k in range(n):
+            yield self._add([s for s in shards if s.run == f"{where}/{name}={k}"], arrivals.schema)
 
     def tiers(self, shards: list[Shard]) -> dict[int, list[str]]:
         """Runs by tier: how often their bytes hold the lowest tier's, as a power of the ratio."""
@@ -123,7 +173,7 @@ class Store:
         return out
 
     def compact(self) -> int:
-        """Merges tiers of fanout runs or more, lowest first, until there is none; each merge is one commit."""
+        """Merges tiers of fanout runs or more, lowest first, until there is none; each merge is one commit.  A merge whose runs another writer merged meanwhile is dropped."""
         while True:
             base = self.version()
             live = self.manifest(base)
@@ -133,36 +183,53 @@ class Store:
             gone = set(full[0][1])
             old = [s for s in live if s.run in gone]
             n = max(1, math.ceil(sum(s.bytes for s in old) / self.policy.target))
-            merged = self._write(self._read(old).coalesce(n), f"m{base + 1}-{uuid.uuid4().hex[:8]}")
-            self.commit(base, [s for s in live if s.run not in gone] + merged)
-
-    def vacuum(self) -> None:
-        """Deletes the data of runs that the newest version doesn't name, once no reader needs older ones."""
-        live = {s.run for s in self.manifest()}
-        for f in self._fs.listStatus(self._path(f"{self.root}/data")):
-            if f.getPath().getName() not in live:
-                self._fs.delete(f.getPath(), True)
-
-    def _read(self, shards: list[Shard]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.root}/{s.path}" for s in shards))
+            merged = self._write(self._read(old, self.schema(base)).coalesce(n), f"m{uuid.uuid4().hex[:12]}")
+            while set(old) <= set(live):
+                try:
+                    self.commit(base, [s for s in live if s.run not in gone] + merged)
+                    break
+                except Conflict:
+                    base = self.version()
+                    live = self.manifest(base)
+
+    def vacuum(self, grace: float = 86_400.0) -> None:
+        """Deletes, once no reader needs older versions, the shards and manifests of versions before the newest that the newest doesn't name.
+
+        Files that no manifest names may belong to a writer at work; they go when
+        they are older than grace seconds, longer than any write takes.
+        """
+        newest = self.version()
+        live = {s.path for s in self.manifest(newest)}
+        older = [v for v in range(1, newest) if self._fs.exists(self._path(self._file(v)))]
+        dropped = {s.path for v in older for s in self.manifest(v)} - live
+        for path in sorted(dropped):
+            self._fs.delete(self._path(f"{self.root}/{path}"), False)
+        for v in older:
+            self._fs.delete(self._path(self._file(v)), False)
+        if not self._fs.exists(self._path(f"{self.root}/data")):
+            return
+        found, late = self._fs.listFiles(self._path(f"{self.root}/data"), True), (time.time() - grace) * 1000
+        while found.hasNext():
+            f = found.next()
+            name = f.getPath().toString().split("/data/")[-1]
+            if f.getModificationTime() < late and f"data/{name}" not in live:
+                self._fs.delete(f.getPath(), False)
+
+    def _read(self, shards: list[Shard], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in shards))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, from the shards that its manifest names; without any, no rows of its schema."""
+        """The rows of a version, from the shards that its manifest names; without any, no rows of its schema.  Nulls, repeated rows and whatever columns there are come back as they were."""
         shards, schema = self.manifest(version), self.schema(version)
-        return self.spark.createDataFrame([], schema) if schema and not shards else self._read(shards)
-
-
-def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
-    """docs in n lots by a hash of the id, as they would come in over time."""
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(n))
-    return [docs.where(lot == k) for k in range(n)]
+        if schema is None:
+            raise ValueError("the store has no version yet")
+        return self._read(shards, schema) if shards else self.spark.createDataFrame([], schema)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str, lots: int = 8) -> DataFrame:
-    """Appends documents in lots, compacts after each four, and reads the newest version back: each row's digest, from the committed shards."""
+    """Appends documents in lots by a hash of the id, as they would come in over time, compacts after each four, and reads the newest version back: each row's digest, from the committed shards."""
     store = Store(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", Policy(target=32 << 20))
-    for k, lot in enumerate(arrivals(table(spark, sf_dir, "documents"), lots)):
-        store.append(lot)
+    for k, _ in enumerate(store.append_lots(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(lots)), lots)):
         if k % store.policy.fanout == store.policy.fanout - 1:
             store.compact()
             store.vacuum()
