@@ -12,8 +12,10 @@ logistic calibration turns into a probability.
 Learning reads a bounded sample of labelled rows (SAMPLE, the rows of least hash)
 that lie outside the held-out fold: three folds for the log-odds, one for the
 calibration.  The sample's ids have a fixed size, so they are broadcast and no
-text is shuffled.  Counts are pre-aggregated by task; the model holds at most
-VOCABULARY words.  Scoring is row-local over whole texts.
+text is shuffled; the sample is written and read again.  Counts are pre-aggregated
+by task.  The model holds every word and stem whose weight is SURE standard
+deviations or more from zero; there are no more of them than the sample has words
+that occur LEAST times.  Scoring is row-local over whole texts.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import gathered, rows_of, small_batches
-from sparkloom.llm.common import table
+from sparkloom.llm.common import table, written
 
-#: Labelled rows to learn from, words the model keeps, pseudo-counts, drift, distinct words a task counts before it hands them on.
-SAMPLE, VOCABULARY, PRIOR, DRIFT, COUNTED = 32_768, 1 << 16, 10.0, 1.0, 1 << 18
+#: Labelled rows to learn from, pseudo-counts, drift, standard deviations of a weight that tells, distinct words a task counts before it hands them on.
+SAMPLE, PRIOR, DRIFT, SURE, COUNTED = 32_768, 10.0, 1.0, 1.0, 1 << 18
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Bytes of a word's stem; words that are too rare for a weight of their own take their stem's.
 STEM, LEAST = 5, 5
@@ -167,11 +169,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labels (doc_id, toxic) outside the held-out fold.
 
-    Without labels of both classes the model scores every text alike: the toxic
-    labels' share, or 0 without any label.
+    Without labels of both classes the model scores every text alike, as the one
+    class there is (clean without any label).  If the calibration fold lacks a
+    class, nothing can be calibrated: a text with a significant passage is toxic
+    (a fixed beta), one without is not.  Null texts count as empty, null labels
+    and ids teach nothing, repeated labels count once, repeated rows each.
     """
     small_batches(docs.sparkSession)
-    known = _sampled(docs, labels)
+    known = written(_sampled(docs, labels), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.binary()), ("clean", pa.int64()), ("toxic", pa.int64())])
@@ -204,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         stems = sums.where(stemmed).select(F.expr(f"substring(word, 2, {STEM})").alias("stem"), odds(F.lit(0.0)).alias("lean"))
         words = sums.where(~stemmed).withColumn("stem", F.expr(f"CASE WHEN length(word) > {STEM} THEN substring(word, 1, {STEM}) END")).join(stems, "stem", "left")
         w = words.select("word", "clean", "toxic", odds(F.coalesce("lean", F.lit(0.0))).alias("w")).unionByName(sums.where(stemmed).select("word", "clean", "toxic", odds(F.lit(0.0)).alias("w")))
-        rows = w.where(F.col("toxic") + F.col("clean") >= LEAST).where(F.abs("w") > 0.05).orderBy(F.abs("w").desc(), "word").limit(VOCABULARY).collect()
+        deviation = F.sqrt(1 / (F.col("toxic") + PRIOR) + 1 / (F.col("clean") / ratio + PRIOR))
+        rows = w.where(F.col("toxic") + F.col("clean") >= LEAST).where(F.abs("w") >= SURE * deviation).orderBy("word").collect()
     finally:
         sums.unpersist()
     weights = {bytes(r["word"]): r["w"] - DRIFT for r in rows}
