@@ -5,14 +5,16 @@ texts a backslash goes before every backslash and ``#``, between the two
 characters of ``</``, and (in roles) before ``:`` and line ends, so neither mark
 can occur there and unescaping is dropping the backslashes.
 
-Windows: prefix sums of turn tokens choose the longest run of new turns that fits
-the budget beside the system turn (the conversation's first turn, if its role is
+Windows: prefix sums of turn tokens (by a byte-level BPE vocabulary) choose the
+longest run of new turns that fits the budget beside the system turn (the conversation's first turn, if its role is
 system) and the repeated history, the latest earlier turns within its own budget.
 A turn that fits no window stands in one alone, over budget, whole.  The mask
 covers each assistant text once: in the window where its turn is new.
 
 Rows are dealt by conversation and sorted by turn; Python streams them and holds
-one window at a time, however long a conversation is.  Spark's sort spills.
+one window at a time, however long a conversation is.  Spark's sort spills.  One
+conversation is one stream in one task, since its windows follow each other; rows
+without a conversation are dealt by their content.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import bpe
 from sparkloom.llm.batches import gathered, rows_of, small_batches
-from sparkloom.llm.common import table
+from sparkloom.llm.common import fresh, table
 
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
 _TURN = re.compile(r"### ((?:[^\\:\n]|\\[\s\S])*): ((?:[^\\<]|\\[\s\S]|<(?!/))*)</turn>\n")
@@ -54,9 +57,14 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\([\s\S])", r"\1", text)
 
 
-def n_tokens(text: str) -> int:
-    """What a turn is charged: words and single other characters."""
-    return len(re.findall(r"\w+|[^\w\s]", text)) + 4
+#: Tokens that a turn is charged for its marks, besides those of its role and text.
+MARKS = 8
+
+
+def counter(path: str, pattern: str = bpe.PATTERN) -> Callable[[str, str], int]:
+    """What a turn is charged: the tokens of its role and its text by a vocabulary, and its marks."""
+    c = bpe.codec(path, pattern)
+    return lambda role, text: len(c.encode(role)) // 4 + len(c.encode(text)) // 4 + MARKS
 
 
 def render(turns: list[tuple[str, str]], first_new: int) -> tuple[str, list[tuple[int, int]]]:
@@ -81,35 +89,38 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         at = m.end()
 
 
-def windows_of(turns: Iterable[tuple[str, str]], b: Budget) -> Iterator[tuple[str, list[tuple[int, int]], int, int]]:
+def windows_of(turns: Iterable[tuple[str, str]], b: Budget, charge: Callable[[str, str], int]) -> Iterator[tuple[str, list[tuple[int, int]], int, int]]:
     """(text, loss spans, turns repeated, new turns) of each window; holds one window and the history."""
     system: tuple[str, str, int] | None = None
     retained: list[tuple[str, str, int]] = []  # the system turn, from the second window on
     history: list[tuple[str, str, int]] = []
     new: list[tuple[str, str, int]] = []
-    total = 0
-    tokens = lambda *lists: sum(n for x in lists for *_, n in x)
+    # Prefix sums: tokens of what stands before the new turns, and of those so far.
+    ahead = total = 0
 
     def window() -> tuple[str, list[tuple[int, int]], int, int]:
         before = retained + history
         return *render([(r, t) for r, t, _ in before + new], len(before)), len(before), len(new)
 
     for k, (role, text) in enumerate(turns):
-        turn = (role, text, n_tokens(text))
+        turn = (role, text, charge(role, text))
         if k == 0 and role == "system":
             system = turn
         total += turn[2]
-        if new and tokens(retained, history) + total > b.window:
+        if new and ahead + total > b.window:
             yield window()
             shown = history + (new[1:] if system and not retained else new)
             retained = [system] if system else []
-            room = min(b.history, b.window - tokens(retained) - turn[2])
+            ahead = system[2] if system else 0
+            room = min(b.history, b.window - ahead - turn[2])
             history, new, total = [], [], turn[2]
             for old in reversed(shown):
                 if old[2] > room:
                     break
-                history.insert(0, old)
+                history.append(old)
                 room -= old[2]
+                ahead += old[2]
+            history.reverse()
         new.append(turn)
     if new:
         yield window()
@@ -120,23 +131,27 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _SCHEMA = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("formatted", pa.string()), ("loss_spans", _SPANS), ("n_repeated", pa.int64()), ("n_new", pa.int64())])
 
 
-def format_windows(conversations: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """The windows of each conversation, in order within a partition.
+def format_windows(conversations: DataFrame, path: str, budget: Budget = Budget()) -> DataFrame:
+    """The windows of each conversation, in order within a partition; path is a vocabulary of ranks (.tiktoken).
 
-    Null roles and texts count as empty.  Rows with a null conv_id form one
-    conversation; null turns come first; turns of one number follow each other
-    by role and text; repeated rows are repeated turns.  An empty table gives no
-    window.  Other columns are dropped.
+    Null roles and texts count as empty.  A row with a null conv_id is a
+    conversation of its own; null turns come first; turns of one number follow
+    each other by role and text; repeated rows are repeated turns.  An empty
+    table gives no window.  Other columns are dropped.
     """
     small_batches(conversations.sparkSession)
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    c = c.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    (deal,) = fresh(c, "deal")
+    c = c.withColumn(deal, F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).repartition(n, deal).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        charge = counter(path)
+        alone = itertools.count()
+
         def rows() -> Iterator[tuple]:
-            for conv, turns in itertools.groupby(rows_of(batches, "conv_id", "role", "text"), lambda r: r[0]):
-                for k, (text, spans, repeated, new) in enumerate(windows_of(((r, t) for _, r, t in turns), budget)):
+            for (conv, _), turns in itertools.groupby(rows_of(batches, "conv_id", "role", "text"), lambda r: (r[0], next(alone) if r[0] is None else None)):
+                for k, (text, spans, repeated, new) in enumerate(windows_of(((r, t) for _, r, t in turns), budget, charge)):
                     yield conv, k, text, [{"start": a, "end": e} for a, e in spans], repeated, new
 
         return gathered(rows(), _SCHEMA, lambda r: len(r[2]))
@@ -154,10 +169,19 @@ def read_back(windows: DataFrame) -> DataFrame:
         schema = pa.schema([(x.split()[0], pa.string() if "string" in x else pa.int64()) for x in _DIGEST.split(", ")])
 
         def rows() -> Iterator[tuple]:
-            for conv, own in itertools.groupby(rows_of(batches, "conv_id", "formatted", "loss_spans", "n_repeated"), lambda r: r[0]):
+            number = itertools.count(1)
+            first = 0  # windows without a conversation: each that is numbered 0 begins another
+
+            def conversation(r: tuple) -> tuple:
+                nonlocal first
+                if r[0] is None and r[4] == 0:
+                    first = next(number)
+                return r[0], first if r[0] is None else 0
+
+            for (conv, _), own in itertools.groupby(rows_of(batches, "conv_id", "formatted", "loss_spans", "n_repeated", "window"), conversation):
                 turns, loss = hashlib.sha256(), hashlib.sha256()
                 n = chars = total = count = 0
-                for _, text, spans, repeated in own:
+                for _, text, spans, repeated, _ in own:
                     for role, said in itertools.islice(parse(text), repeated, None):
                         turns.update(f"{role}\n{said}\n".encode())
                         n += 1
@@ -176,5 +200,8 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
+    import public_tokenizers
+
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return read_back(format_windows(turns, public_tokenizers.path("byte_bpe_50k.tiktoken")))
