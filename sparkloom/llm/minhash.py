@@ -1,8 +1,10 @@
-"""Shingle sets and their fast similarity sketches (pure NumPy; no Spark)."""
+"""Shingle sets and their fast similarity sketches (NumPy and Arrow; no Spark)."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORDS, ROWS, BANDS = 5, 4, 36
@@ -19,16 +21,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles; of the whole sequence with fewer words; none without words.
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words; each distinct word of the batch is hashed once.
 
     A-Z are lower-cased; white space is ASCII's.
     """
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, _U)
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    d = parts.flatten().dictionary_encode()
+    known = d.dictionary.to_pylist()
     digest = xxhash.xxh3_64_intdigest
-    h = np.array([digest(w) for w in words], _U)
+    h = np.array([digest(w) for w in known], _U)[d.indices.to_numpy(zero_copy_only=False)] if known else np.zeros(0, _U)
+    ends = parts.offsets.to_numpy().astype(np.int64)
+    out = [h[i:j] for i, j in zip(ends - ends[0], ends[1:] - ends[0], strict=False)]
+    # An empty text is split into one empty word.
+    return [x[:0] if len(x) == 1 and blank else x for x, blank in zip(out, _blank(parts), strict=True)]
+
+
+def _blank(parts: pa.ListArray) -> list[bool]:
+    return pc.equal(pc.binary_join(parts, ""), "").to_pylist()
+
+
+def shingles_of(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the 5-word shingles of words with these hashes; of the whole sequence with fewer words; none without words."""
+    if not len(h):
+        return np.zeros(0, _U)
     n = max(1, len(h) - WORDS + 1)
     total = np.full(n, len(h) if len(h) < WORDS else WORDS, _U)
     for k in range(min(WORDS, len(h))):
@@ -36,6 +52,10 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def shingles(text: str) -> np.ndarray:
+    return shingles_of(words_of(pa.array([text], pa.string()))[0])
+
+
 def sketch(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """One value a slot, equal in two sets' sketches with the probability of their similarity.
 
@@ -74,6 +94,11 @@ def bands(sketch_: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return total.view(np.int64)
 
 
+def digest(sketch_: np.ndarray) -> bytes:
+    """A byte a slot: where two sketches agree, their digests do; elsewhere they do once in 256."""
+    return (_mixed(sketch_) >> _U(56)).astype(np.uint8).tobytes()
+
+
 def set_key(elements: np.ndarray) -> bytes:
     """Equal sets have equal keys."""
     return xxhash.xxh3_128_digest(elements.tobytes())

@@ -434,3 +434,30 @@ def test_inner_names_do_not_clash(spark):
     d = spark.createDataFrame([(1, "mine", "a", "b"), (2, "mine", "a", "b"), (None, "mine", "a", "b")], "doc_id long, place string, word string, maybe string")
     left = without(d, "doc_id", spark.createDataFrame([(2,)], "doc_id long")).collect()
     assert sorted(str(r["doc_id"]) for r in left) == ["1", "None"] and all(r["place"] == "mine" and r["word"] == "a" and r["maybe"] == "b" for r in left)
+
+
+def test_words_as_split():
+    texts = ["", " ", "\t\n\x0b\x0c\r", " A b\u00a0c  d\x1ce ", "x", "\u00c9 \u00e9", "a" * 100]
+    import xxhash
+
+    for t, h in zip(texts, minhash.words_of(minhash.pa.array(texts)), strict=True):
+        assert h.tolist() == [xxhash.xxh3_64_intdigest(w) for w in t.encode().lower().split()]
+
+
+def test_dedup_where_the_pivot_is_unlike_the_rest(spark, monkeypatch):
+    """Groups whose pivot links nobody, in several blocks: clusters are found by the digests and the exact comparison."""
+    monkeypatch.setattr(dedup, "BLOCK", 3)
+    random.seed(10)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for c in range(4):
+        base = random.sample(words, 120)
+        texts += [" ".join(base[:k] + [f"z{c}{k}"] + base[k + 1 :]) for k in range(0, 120, 15)]
+    texts.insert(0, " ".join(random.sample(words, 120)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sig = dedup.signatures(docs).toPandas()
+    # One band that all share, so that the first text is everybody's pivot.
+    rows = [(int(r.doc_id), [1], int(r.n_shingles), bytearray(r.sketch)) for r in sig.itertuples()]
+    reps = spark.createDataFrame(rows, "rep long, bands array<long>, n_shingles long, sketch binary")
+    got = {r["node"]: r["component"] for r in dedup.linked(reps, docs).collect()}
+    assert got == {1 + 8 * c + k: 1 + 8 * c for c in range(4) for k in range(8)}

@@ -65,33 +65,39 @@ def test_byte_bpe(spark, sf_dir, docs):
 
 
 def components(texts):
-    """Brute force over all pairs."""
-    sets = {}
+    """Brute force: every pair that shares a shingle, by an inverted index (others have no similarity)."""
+    sets, at, holders = {}, {}, {}
     for i, t in texts:
         w = t.encode().lower().split()
         sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-    at = {i: i for i in sets}
+        at[i] = i
 
     def find(x):
         while at[x] != x:
             x = at[x]
         return x
 
-    ids = sorted(i for i in sets if sets[i])
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            both = len(sets[i] & sets[j])
-            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+    for i in sorted(sets):
+        both = {}
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                both[j] = both.get(j, 0) + 1
+            holders[s].append(i)
+        for j, n in both.items():
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
                 a, b = sorted((find(i), find(j)))
                 at[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_minhash_dedup(spark, sf_dir, docs):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_minhash_dedup(spark, sf):
+    """Every link is found (a recall of 1) and none that isn't one."""
+    docs = pd.read_parquet(f"/root/testdata/{sf}/documents.parquet")
     want = components(zip(docs.doc_id, docs.text, strict=True))
-    r = run("op6_minhash_dedup", spark, sf_dir)
+    r = run("op6_minhash_dedup", spark, f"/root/testdata/{sf}")
     assert {q.doc_id: (q.n_shingles, q.component_id) for q in r.itertuples()} == want
-    assert (r.kept == (r.doc_id == r.component_id)).all()
+    assert (r.kept == (r.doc_id == r.component_id)).all() and (r.component_id != r.doc_id).any()
 
 
 def checked_pieces(pieces, texts):
