@@ -14,8 +14,8 @@
 5. Where a group has members that its pivot isn't similar to, pairs of different
    components remain.  Digests of the sketches (SLOTS bytes a class, blocks of
    BLOCK, each pair of blocks a unit) tell which classes may have such a partner:
-   at the threshold 108 of 144 slots agree, with a deviation of 5, and LEAST is
-   72.  Only those classes' texts meet in units of bounded bytes that find a
+   at the threshold 108 of 144 slots agree, with a deviation of 5.2, so a pair has
+   fewer than LEAST with a probability of 4e-6.  Only those classes' texts meet in units of bounded bytes that find a
    spanning forest of their exact similarity graph.  No pair is ever a row.
 6. Links between classes become components by alternating large and small stars,
    each step written to the shared folder; every row then looks up its class.
@@ -37,11 +37,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm import minhash
 from sparkloom.llm.batches import gathered, rows_of, small_batches
 from sparkloom.llm.common import maybe, table, written
-from sparkloom.llm.stretches import regrouped
 
 BLOCK, PERCENT = 1024, 75
 #: Slots in which the digests of a pair agree that is compared exactly; bytes of the sets in a unit of exact comparison.
-LEAST, BYTES = minhash.SLOTS // 2, 32 << 20
+LEAST, BYTES = 84, 32 << 20
 
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -53,10 +52,10 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in regrouped(batches, 1):
+        for b in batches:
             sizes, keys, bands, digests = [], [], [], []
-            for h in minhash.words_of(b.column(1)):
-                e = minhash.shingles_of(h)
+            for t in b.column(1):
+                e = minhash.shingles(t.as_py())
                 sizes.append(len(e))
                 s = minhash.sketch(e) if len(e) else None
                 keys.append(minhash.set_key(e) if len(e) else None)

@@ -436,14 +436,6 @@ def test_inner_names_do_not_clash(spark):
     assert sorted(str(r["doc_id"]) for r in left) == ["1", "None"] and all(r["place"] == "mine" and r["word"] == "a" and r["maybe"] == "b" for r in left)
 
 
-def test_words_as_split():
-    texts = ["", " ", "\t\n\x0b\x0c\r", " A b\u00a0c  d\x1ce ", "x", "\u00c9 \u00e9", "a" * 100]
-    import xxhash
-
-    for t, h in zip(texts, minhash.words_of(minhash.pa.array(texts)), strict=True):
-        assert h.tolist() == [xxhash.xxh3_64_intdigest(w) for w in t.encode().lower().split()]
-
-
 def test_dedup_where_the_pivot_is_unlike_the_rest(spark, monkeypatch):
     """Groups whose pivot links nobody, in several blocks: clusters are found by the digests and the exact comparison."""
     monkeypatch.setattr(dedup, "BLOCK", 3)
