@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
 from sparkloom.llm.batches import gathered, rows_of, small_batches
-from sparkloom.llm.common import fresh, table
+from sparkloom.llm.common import table
+from sparkloom.llm.stretches import regrouped
 
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
 _TURN = re.compile(r"### ((?:[^\\:\n]|\\[\s\S])*): ((?:[^\\<]|\\[\s\S]|<(?!/))*)</turn>\n")
@@ -61,10 +62,9 @@ def unescaped(text: str) -> str:
 MARKS = 8
 
 
-def counter(path: str, pattern: str = bpe.PATTERN) -> Callable[[str, str], int]:
-    """What a turn is charged: the tokens of its role and its text by a vocabulary, and its marks."""
-    c = bpe.codec(path, pattern)
-    return lambda role, text: len(c.encode(role)) // 4 + len(c.encode(text)) // 4 + MARKS
+def charges(roles: pa.Array, texts: pa.Array, codec: bpe.Codec) -> list[int]:
+    """What each turn is charged: the tokens of its role and its text by a vocabulary, and its marks."""
+    return [len(r) + len(t) + MARKS for r, t in zip(codec.ids_of(roles), codec.ids_of(texts), strict=True)]
 
 
 def render(turns: list[tuple[str, str]], first_new: int) -> tuple[str, list[tuple[int, int]]]:
@@ -89,8 +89,8 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         at = m.end()
 
 
-def windows_of(turns: Iterable[tuple[str, str]], b: Budget, charge: Callable[[str, str], int]) -> Iterator[tuple[str, list[tuple[int, int]], int, int]]:
-    """(text, loss spans, turns repeated, new turns) of each window; holds one window and the history."""
+def windows_of(turns: Iterable[tuple[str, str, int]], b: Budget) -> Iterator[tuple[str, list[tuple[int, int]], int, int]]:
+    """(text, loss spans, turns repeated, new turns) of each window of turns (role, text, tokens); holds one window and the history."""
     system: tuple[str, str, int] | None = None
     retained: list[tuple[str, str, int]] = []  # the system turn, from the second window on
     history: list[tuple[str, str, int]] = []
@@ -102,9 +102,8 @@ def windows_of(turns: Iterable[tuple[str, str]], b: Budget, charge: Callable[[st
         before = retained + history
         return *render([(r, t) for r, t, _ in before + new], len(before)), len(before), len(new)
 
-    for k, (role, text) in enumerate(turns):
-        turn = (role, text, charge(role, text))
-        if k == 0 and role == "system":
+    for k, turn in enumerate(turns):
+        if k == 0 and turn[0] == "system":
             system = turn
         total += turn[2]
         if new and ahead + total > b.window:
@@ -142,16 +141,22 @@ def format_windows(conversations: DataFrame, path: str, budget: Budget = Budget(
     small_batches(conversations.sparkSession)
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    (deal,) = fresh(c, "deal")
-    c = c.withColumn(deal, F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).repartition(n, deal).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+
+    def charged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe.codec(path, bpe.PATTERN)
+        for x in regrouped(batches, 3):
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(charges(x.column(2), x.column(3), codec), pa.int64())], names=[*x.schema.names, "n_tokens"])
+
+    c = c.mapInArrow(charged, f"conv_id long, turn {c.schema['turn'].dataType.simpleString()}, role string, text string, n_tokens long")
+    c = c.withColumn("deal", F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).repartition(n, "deal").sortWithinPartitions("conv_id", "turn", "role", "text")
+    c = c.select("conv_id", "role", "text", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        charge = counter(path)
         alone = itertools.count()
 
         def rows() -> Iterator[tuple]:
-            for (conv, _), turns in itertools.groupby(rows_of(batches, "conv_id", "role", "text"), lambda r: (r[0], next(alone) if r[0] is None else None)):
-                for k, (text, spans, repeated, new) in enumerate(windows_of(((r, t) for _, r, t in turns), budget, charge)):
+            for (conv, _), turns in itertools.groupby(rows_of(batches, "conv_id", "role", "text", "n_tokens"), lambda r: (r[0], next(alone) if r[0] is None else None)):
+                for k, (text, spans, repeated, new) in enumerate(windows_of((r[1:] for r in turns), budget)):
                     yield conv, k, text, [{"start": a, "end": e} for a, e in spans], repeated, new
 
         return gathered(rows(), _SCHEMA, lambda r: len(r[2]))

@@ -313,12 +313,13 @@ def test_chat(spark):
 @pytest.mark.parametrize("budget", [chat.Budget(16, 0), chat.Budget(30, 14), chat.Budget(60, 25)])
 def test_windows_round_trip(budget):
     random.seed(4)
-    charge = chat.counter(P.path("byte_bpe_50k.tiktoken"))
+    codec = bpe.codec(P.path("byte_bpe_50k.tiktoken"), bpe.PATTERN)
+    charge = lambda role, text: chat.charges(bpe.pa.array([role]), bpe.pa.array([text]), codec)[0]
     parts = ["\\", "#", "### ", "</turn>", "</", "<", "/", "\n", ": ", "a", "word here", "assistant"]
     for _ in range(400):
         turns = [(random.choice(["user", "assistant", "system", "", " a: b\n", "#:\\"]), "".join(random.choice(parts) for _ in range(random.randrange(12)))) for _ in range(random.randrange(1, 9))]
         got, loss = [], []
-        for text, spans, repeated, new in chat.windows_of(iter(turns), budget, charge):
+        for text, spans, repeated, new in chat.windows_of(((r, t, charge(r, t)) for r, t in turns), budget):
             p = list(chat.parse(text))
             assert len(p) == repeated + new == text.count("</turn>")
             assert sum(charge(*y) for y in p) <= budget.window or new == 1
