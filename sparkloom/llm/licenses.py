@@ -2,16 +2,20 @@
 
 Base: every place where a phrase's words stand consecutively.  Method: templates
 are usual notices and the passages of whole licence texts (``license_texts``);
-from each the words of highest IDF among all of them are indexed with their
-positions, never those that many templates share.  In a text each such word votes for (template, its position minus the
-posting's); votes that agree on one shift mean that the words stand as in the
-template.  A template with enough votes on a shift is reported if its mandatory
-key phrase stands in the text.
-
-All of it is row-local and made of built-in functions: one scan, no shuffle.  A
-substring test (at memory speed) for a few stems, one of which is in every
-phrase, keeps the word arrays to the texts that can have a hit; since a
-mandatory phrase is needed for any label, that test loses nothing.  Work within a text is O(n log n) in its words.
+one scan counts in how many of the files each of their words occurs, and each
+template is indexed, with positions, by its words of highest IDF, never by those
+that many files hold.  In a file each indexed word votes for (template, its
+position minus the posting's); votes that agree on one shift mean that the words
+stand as in the template.  A template with enough votes on a shift is reported if
+its mandatory key phrase stands in the file.  The score is the best share of
+votes among reported templates; a base phrase alone counts as PHRASE.
+
+Both scans are made of built-in functions; the first shuffles counts of template
+words only (a few thousand, which is what reaches the driver), the second
+nothing.  A substring test (at memory speed) for a few stems, one of which is in
+every phrase, keeps the word arrays of the second to the texts that can have a
+hit; since a mandatory phrase is needed for any label, that test loses nothing.
+Work within a text is O(n log n) in its words.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ascii_lower, let, table
+from sparkloom.llm.common import ascii_lower, fresh, let, table
 
 #: The base phrases and their labels.
 PHRASES = (
@@ -35,21 +39,6 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Fixed values of the SQL: label, mandatory key phrase, and a sentence of the licence or of its usual notice.
-TEMPLATES = (
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nd", "cc by nd", "licensed under cc by nd 4 0"),
-    ("gpl-3.0", "public license version 3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "public license version 2", "this work is licensed under the gnu general public license version 2"),
-    ("lgpl", "lesser general public license", "licensed under the gnu lesser general public license"),
-    ("mpl-2.0", "mozilla public license", "subject to the terms of the mozilla public license v 2 0"),
-    ("mit-text", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit-release", "released under the mit license", "released under the mit license"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("rights-reserved", "all rights reserved", "all rights reserved"),
-)
 #: Usual notices by label, whatever stands around them; each is its own key phrase.
 NOTICES = {
     "apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache license v 2 0", "apache license v2", "apache 2 0", "apache software license 2 0", "apache software license version 2 0", "apache version 2 0"),
@@ -71,8 +60,8 @@ NOTICES = {
 TEXTS = {"apache-2.0": ("apache-2.0",), "bsd": ("bsd-2", "bsd-3"), "cc-by-sa": ("cc-by-sa",), "gpl-2.0": ("gpl-2.0",), "gpl-3.0": ("gpl-3.0",), "isc": ("isc",), "lgpl": ("lgpl-2.1", "lgpl-3.0"), "mit-text": ("mit",), "mpl-2.0": ("mpl-2.0",)}
 #: Words of a passage, and words of its key phrase.
 PASSAGE, KEY = 60, 5
-#: Words in more than this share of the templates are not indexed.
-COMMON = 0.1
+#: Words in more than this share of the files are not indexed; what a base phrase alone scores.
+COMMON, PHRASE = 0.1, 0.5
 #: Stems for the substring test.
 STEMS = ("licens", "copy", "warrant", "distribut", "software", "rights", "library", "program", "modif", "gpl", "cc by", "creative", "clause bsd")
 #: Rare words a template is indexed by, and the share of them that must agree on a shift.
@@ -101,18 +90,17 @@ def full_templates() -> tuple[tuple[str, str, str], ...]:
     return tuple(out)
 
 
-def index(templates=TEMPLATES, rare: int = RARE, common: float = 1.0) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+def index(templates, df: dict[str, int], n_docs: int, rare: int = RARE, common: float = COMMON) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
     """word -> [(template, position)] for each template's words of highest IDF (ties: alphabetical), and their number by template.
 
-    Words in more than a share common of the templates are left out, unless a template has no others.
+    df says how many of n_docs files hold a word.  Words in more than a share
+    common of the files are left out, unless a template has no others.
     """
-    texts = [t.split() for _, _, t in templates]
-    df = Counter(w for t in texts for w in set(t))
     postings: dict[str, list[tuple[int, int]]] = {}
     sizes = []
-    for k, t in enumerate(texts):
-        own = {w for w in t if df[w] <= common * len(texts)} or set(t)
-        chosen = set(sorted(own, key=lambda w: (-math.log(len(texts) / df[w]), w))[:rare])
+    for k, t in enumerate(x.split() for _, _, x in templates):
+        own = {w for w in t if df.get(w, 0) <= common * n_docs} or set(t)
+        chosen = set(sorted(own, key=lambda w: (df.get(w, 0), w))[:rare])
         places = [(w, i) for i, w in enumerate(t) if w in chosen]
         sizes.append(len(places))
         for w, i in places:
@@ -120,6 +108,18 @@ def index(templates=TEMPLATES, rare: int = RARE, common: float = 1.0) -> tuple[d
     return postings, sizes
 
 
+def frequencies(docs: DataFrame, text: str = "text", templates=None) -> tuple[dict[str, int], int]:
+    """In how many files each word of the templates occurs, and the number of files."""
+    templates = full_templates() if templates is None else templates
+    known = sorted({w for _, _, t in templates for w in t.split()})
+    words = F.split(ascii_lower(_spaced(F.coalesce(F.col(text), F.lit("")))), " ")
+    own = F.array_distinct(F.filter(words, lambda w: w.isin(known)))
+    # The empty word stands for the file itself.
+    rows = docs.select(F.explode(F.concat(F.array(F.lit("")), own)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    df = {r["word"]: r["n"] for r in rows}
+    return df, df.pop("", 0)
+
+
 def _spaced(text: Column) -> Column:
     """The words with single spaces between them, in their own case."""
     return F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
@@ -155,33 +155,31 @@ def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=None, s
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to docs.
 
     templates are (label, key phrase, words); full_templates() if not given.
+    Their words' IDF is taken from docs.  An empty table gives an empty result.
     Null text counts as empty: no words, no labels (empty strings), score 0.
     first_word and last_word are null without a base hit.  Repeated rows get the
     same result each; columns of docs named like a result are replaced.
     """
     templates = full_templates() if templates is None else templates
-    postings, sizes = index(templates, common=COMMON)
+    postings, sizes = index(templates, *frequencies(docs, text, templates))
     phrases_ = {p for p, _ in phrases} | {k for _, k, _ in templates}
     shorter = {k for k in phrases_ if not any(x in k for x in STEMS)}
     keys = sorted({k for k in shorter if not any(x != k and x in k for x in shorter)} | {x for x in STEMS if any(x in k for k in phrases_)})
-    d = docs.withColumn("_spaced", _spaced(F.coalesce(F.col(text), F.lit(""))))
-    low = F.lower("_spaced")
+    spaced, found_ = fresh(docs, "spaced", "found")
+    d = docs.withColumn(spaced, _spaced(F.coalesce(F.col(text), F.lit(""))))
+    low = F.lower(spaced)
     maybe = low.contains(keys[0])
     for k in keys[1:]:
         maybe = maybe | low.contains(k)
-    words = F.when(maybe, F.split(ascii_lower(F.col("_spaced")), " "))
+    words = F.when(maybe, F.split(ascii_lower(F.col(spaced)), " "))
     need = [math.ceil(share * s) for s in sizes]
 
     def named(w: Column) -> Column:
         padded = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
 
-        def templates_in(pair: Column) -> Column:
-            v, whole = pair["votes"], pair["whole"]
-            enough = F.filter(v, lambda x, k: F.coalesce(F.get(v, k + F.element_at(F.array(*map(F.lit, need)), x["t"] + 1) - 1) == x, F.lit(False)))
-            labels = F.array(*[F.lit(t[0]) for t in templates])
-            phrase = F.array(*[F.lit(f" {t[1]} ") for t in templates])
-            ok = F.filter(F.array_distinct(F.transform(enough, lambda x: x["t"])), lambda t: F.contains(whole, F.element_at(phrase, t + 1)))
-            runs = F.aggregate(
+        def best(v: Column) -> Column:
+            """The largest share of a template's words that agree on a shift; votes are sorted."""
+            return F.least(F.lit(1.0), F.aggregate(
                 v,
                 F.struct(F.lit(-1).alias("t"), F.lit(0).alias("shift"), F.lit(0).alias("n"), F.lit(0.0).alias("best")),
                 lambda a, x: let(
@@ -189,25 +187,32 @@ def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=None, s
                     lambda n: F.struct(x["t"].alias("t"), x["shift"].alias("shift"), n.alias("n"), F.greatest(a["best"], n / F.element_at(F.array(*map(F.lit, sizes)), x["t"] + 1)).alias("best")),
                 ),
                 lambda a: a["best"],
-            )
-            return F.struct(F.transform(ok, lambda t: F.element_at(labels, t + 1)).alias("labels"), F.least(F.lit(1.0), runs).alias("best"))
+            ))
+
+        def templates_in(pair: Column) -> Column:
+            v, whole = pair["votes"], pair["whole"]
+            enough = F.filter(v, lambda x, k: F.coalesce(F.get(v, k + F.element_at(F.array(*map(F.lit, need)), x["t"] + 1) - 1) == x, F.lit(False)))
+            labels = F.array(*[F.lit(t[0]) for t in templates])
+            phrase = F.array(*[F.lit(f" {t[1]} ") for t in templates])
+            ok = F.filter(F.array_distinct(F.transform(enough, lambda x: x["t"])), lambda t: F.contains(whole, F.element_at(phrase, t + 1)))
+            return let(ok, lambda ts: F.struct(F.transform(ts, lambda t: F.element_at(labels, t + 1)).alias("labels"), best(F.filter(v, lambda x: F.array_contains(ts, x["t"]))).alias("best")))
 
         return let(F.struct(_votes(w, postings).alias("votes"), padded.alias("whole")), templates_in)
 
-    d = d.withColumn("_found", F.when(maybe, let(words, lambda w: F.struct(_places(w, phrases).alias("places"), named(w).alias("named")))))
-    place, named_ = F.col("_found.places"), F.col("_found.named.labels")
+    d = d.withColumn(found_, F.when(maybe, let(words, lambda w: F.struct(_places(w, phrases).alias("places"), named(w).alias("named")))))
+    place, named_ = F.col(found_)["places"], F.col(found_)["named"]["labels"]
     base = F.coalesce(F.transform(place, lambda x: x["label"]), F.array().cast("array<string>"))
     joined = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
     d = d.withColumns({
-        "n_words": F.when(F.col("_spaced") == "", 0).otherwise(F.length("_spaced") - F.length(F.replace("_spaced", F.lit(" "), F.lit(""))) + 1).cast("long"),
+        "n_words": F.when(F.col(spaced) == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long"),
         "n_base": F.size(base).cast("long"),
         "first_word": F.array_min(F.transform(place, lambda x: x["pos"])).cast("long"),
         "last_word": F.array_max(F.transform(place, lambda x: x["pos"])).cast("long"),
         "base_labels": joined(base),
         "labels": joined(F.concat(base, F.coalesce(named_, F.array().cast("array<string>")))),
-        "score": F.when(F.size(base) > 0, 1.0).when(F.size(named_) > 0, F.round("_found.named.best", 6)).otherwise(0.0),
+        "score": F.round(F.greatest(F.when(F.size(base) > 0, PHRASE).otherwise(0.0), F.coalesce(F.col(found_)["named"]["best"], F.lit(0.0))), 6),
     })
-    return d.drop("_spaced", "_found")
+    return d.drop(spaced, found_)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,25 +220,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    postings, sizes = index()
     p = ", ".join(f"('{x}', '{label}', {len(x.split())})" for x, label in PHRASES)
-    t = ", ".join(f"({k}, '{label}', '{key}', {sizes[k]}, {math.ceil(SHARE * sizes[k])})" for k, (label, key, _) in enumerate(TEMPLATES))
-    x = ", ".join(f"('{w}', {k}, {i})" for w, ps in sorted(postings.items()) for k, i in ps)
+    t = ", ".join(f"({k}, '{label}', '{key}', '{words}')" for k, (label, key, words) in enumerate(full_templates()))
     return rf"""
-WITH p(phrase, label, k) AS (VALUES {p}), t(t, label, key, size, need) AS (VALUES {t}), x(w, t, i) AS (VALUES {x}),
+WITH p(phrase, label, k) AS (VALUES {p}), t(t, label, key, words) AS (VALUES {t}),
+tw AS (SELECT t, unnest(string_split(words, ' ')) AS w, unnest(range(len(string_split(words, ' ')))) AS i FROM t),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 u AS (SELECT doc_id, ws, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+df AS (SELECT w, count(DISTINCT doc_id) AS n FROM u WHERE w IN (SELECT w FROM tw) GROUP BY 1),
+own AS (SELECT DISTINCT t, w, coalesce(n, 0) AS n, coalesce(n, 0) <= {COMMON}::DOUBLE * (SELECT count(*) FROM documents) AS rare FROM tw LEFT JOIN df USING (w)),
+cand AS (SELECT * FROM (SELECT *, bool_or(rare) OVER (PARTITION BY t) AS any_rare FROM own) WHERE rare OR NOT any_rare),
+pick AS (SELECT t, w FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n, w) AS r FROM cand) WHERE r <= {RARE}),
+x AS (SELECT t, w, i FROM tw JOIN pick USING (t, w)),
+size AS (SELECT t, count(*) AS size, ceil({SHARE}::DOUBLE * count(*)) AS need FROM x GROUP BY 1),
 b AS (SELECT doc_id, i, label FROM u JOIN p ON w = string_split(phrase, ' ')[1] AND array_to_string(ws[i + 1:i + k], ' ') = phrase),
 bb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY 1),
 vote AS (SELECT doc_id, t, u.i - x.i AS shift, count(*) AS n FROM u JOIN x USING (w) GROUP BY ALL),
-best AS (SELECT doc_id, max(least(1.0, n / size)) AS best FROM vote JOIN t USING (t) GROUP BY 1),
-m AS (SELECT DISTINCT doc_id, label FROM vote JOIN t USING (t) JOIN d USING (doc_id) WHERE n >= need AND contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || key || ' ')),
+m AS (SELECT doc_id, label, max(least(1.0::DOUBLE, n / size)) AS best FROM (SELECT doc_id, t, max(n) AS n FROM vote GROUP BY ALL) JOIN size USING (t) JOIN t USING (t) JOIN d USING (doc_id)
+      WHERE n >= need AND contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || key || ' ') GROUP BY ALL),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
-a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(*) AS n FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m) GROUP BY 1)
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m) GROUP BY 1),
+best AS (SELECT doc_id, max(best) AS best FROM m GROUP BY 1)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-       CASE WHEN n_base > 0 THEN 1.0::DOUBLE WHEN a.doc_id IS NOT NULL THEN round(best, 6)::DOUBLE ELSE 0.0::DOUBLE END AS score
+       round(greatest(CASE WHEN n_base > 0 THEN {PHRASE}::DOUBLE ELSE 0 END, coalesce(best, 0)), 6)::DOUBLE AS score
 FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id
 """
 

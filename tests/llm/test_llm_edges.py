@@ -376,6 +376,25 @@ def test_licenses_in_other_words(spark):
             assert got == want, text
 
 
+def test_license_scores_and_inner_names(spark):
+    """A whole text scores more than a torn one, a phrase alone least; votes without the key phrase count nothing; a caller's columns stay."""
+    text = (licenses.Path(licenses.__file__).parent / "license_texts" / "gpl-3.0.txt").read_text().split()
+    torn = " ".join(w for k, w in enumerate(text[:400]) if k % 9)
+    every = licenses.full_templates()
+    label, key, passage = next(t for t in every if t[0] == "mpl-2.0" and len(t[2].split()) > 40 and sum(k in t[2] for _, k, _ in every) == 1)
+    said = [" ".join(text[:400]), torn, "as in the GNU General Public License it says", passage.replace(key, "x y z v w"), ""]
+    d = spark.createDataFrame([(k, t, "mine", "mine") for k, t in enumerate(said)], "doc_id long, text string, spaced string, found string")
+    r = licenses.scan(d).orderBy("doc_id").collect()
+    assert r[0]["score"] == 1.0 and 0.5 <= r[1]["score"] <= 1.0 and r[2]["score"] == 0.5 and r[3]["labels"] == "" and r[3]["score"] == r[4]["score"] == 0
+    assert {x["spaced"] for x in r} == {x["found"] for x in r} == {"mine"}
+
+
+def test_license_index_takes_the_rarest_words_of_the_files():
+    postings, sizes = licenses.index([("a", "k", "one two three two")], {"one": 90, "two": 3, "three": 7}, 100, rare=2)
+    assert postings == {"two": [(0, 1), (0, 3)], "three": [(0, 2)]} and sizes == [3]
+    assert set(licenses.index([("a", "k", "one two")], {"one": 90, "two": 80}, 100, rare=1)[0]) == {"two"}
+
+
 def test_sharding_without_rows(spark, none, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/store", sharding.Policy(fanout=2))
     for _ in range(2):
