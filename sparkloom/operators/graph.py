@@ -1,36 +1,24 @@
 """Graphs as node and edge tables: neighbours, degrees, traversal, cycles, flows.
 
-Iterative operators keep a frontier that shrinks, write each round to the
-shared checkpoint folder, and stop when a round adds nothing.  A graph whose
-edges are counted and found to be LOCAL or fewer is walked on the driver
-instead: a round of Spark jobs costs more than the whole walk.
+Iterative operators take several steps in one plan, write what is new to the
+shared folder, and stop when a round adds nothing.  Runs of nodes with a single
+predecessor (or successor) are followed by pointer jumping, so a chain or a ring
+of n edges takes log n rounds, not n.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that are walked on the driver; more stay distributed.
-LOCAL = 1 << 16
-
+from sparkloom.sources.shared import written
 
-def _few(edges: DataFrame, local: int) -> list[tuple] | None:
-    """The edges, if they are local or fewer; at most one more is fetched to tell."""
-    if not local:
-        return None
-    rows = edges.select("src", "dst").limit(local + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= local else None
+#: Steps of a traversal in one plan.
+HOPS = 3
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is the session's, or a temporary one where it has none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint()
+    return written(df, "graph")
 
 
 def callers(edges: DataFrame, node) -> DataFrame:
@@ -70,91 +58,92 @@ def resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.join(by_id, "dst", "left").join(by_name, "dst", "left").withColumn("callee_id", F.coalesce("_by_id", "_by_name")).drop("_by_id", "_by_name")
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int = 3, include_start: bool = True, kinds: list[str] | None = None, local: int = LOCAL) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, max_depth: int = 3, include_start: bool = True, kinds: list[str] | None = None) -> DataFrame:
     """(node, depth) of the nodes within max_depth steps of start (node), each at its least depth."""
     e = (edges.where(F.col("kind").isin(*kinds)) if kinds else edges).select("src", "dst").distinct()
-    if (few := _few(e, local)) is not None and len(begin := start.select("node").distinct().limit(local + 1).collect()) <= local:
-        after: dict = {}
-        for a, b in few:
-            after.setdefault(a, []).append(b)
-        depth_of = {r["node"]: 0 for r in begin}
-        layer = list(depth_of)
-        for depth in range(1, max_depth + 1):
-            layer = list({b for a in layer for b in after.get(a, ()) if b not in depth_of})
-            depth_of.update(dict.fromkeys(layer, depth))
-            if not layer:
-                break
-        kind = dict(start.dtypes)["node"]
-        return start.sparkSession.createDataFrame([x for x in depth_of.items() if include_start or x[1]], f"node {kind}, depth int")
-    frontier = start.select("node").distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = _cut(step)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    if max_depth > HOPS:
+        e = _cut(e)
+    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
+    frontier, depth = seen, 0
+    while depth < max_depth:
+        layer, new = frontier, None
+        for depth in range(depth + 1, min(depth + HOPS, max_depth) + 1):  # noqa: B020
+            layer = layer.join(e, layer["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+            new = layer if new is None else new.unionByName(layer)
+        new = new.groupBy("node").agg(F.min("depth").alias("depth")).join(seen.select("node"), "node", "left_anti")
+        if depth < max_depth:
+            new = _cut(new)
+            frontier = new.where(F.col("depth") == depth)
+            if frontier.isEmpty():
+                depth = max_depth
+        seen = seen.unionByName(new)
     return seen if include_start else seen.where("depth > 0")
 
 
-def _components(edges: list[tuple]) -> list[list]:
-    """Strongly connected components by two depth-first passes, without recursion."""
-    after: dict = {}
-    before: dict = {}
-    for a, b in edges:
-        after.setdefault(a, []).append(b)
-        after.setdefault(b, [])
-        before.setdefault(b, []).append(a)
-    seen, order = set(), []
-    for root in after:
-        if root in seen:
-            continue
-        seen.add(root)
-        stack = [(root, iter(after[root]))]
-        while stack:
-            node, rest = stack[-1]
-            nxt = next((x for x in rest if x not in seen), None)
-            if nxt is None:
-                order.append(node)
-                stack.pop()
-            else:
-                seen.add(nxt)
-                stack.append((nxt, iter(after[nxt])))
-    out, placed = [], set()
-    for root in reversed(order):
-        if root in placed:
-            continue
-        placed.add(root)
-        group, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            group.append(node)
-            new = [x for x in before.get(node, ()) if x not in placed]
-            placed.update(new)
-            todo += new
-        out.append(group)
-    return out
+def _ends(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of distinct edges without loops: nodes that nothing but a run of single predecessors from a source leads to (sources included), and nodes on rings whose only way in is the ring.
+
+    Neither lie on other cycles.  Pointers of nodes with one predecessor jump to
+    their predecessor's, so their reach doubles each round; open ones haven't
+    met a node without, or with several.
+    """
+    into = e.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("at"), F.count("*").alias("n"))
+    single = into.where("n = 1").select("node", "at")
+    p = _cut(single.join(single.select(F.col("node").alias("at"), F.lit(True).alias("open")), "at", "left").select("node", "at", F.coalesce("open", F.lit(False)).alias("open")))
+    left, steps, before = p.where("open").count(), 1, -1
+    while left and (left != before or steps < left):
+        q = p.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("open").alias("more"))
+        p = _cut(p.where("open").join(q, "at").select("node", F.col("next").alias("at"), F.col("more").alias("open")).unionByName(p.where("NOT open")))
+        before, left, steps = left, p.where("open").count(), steps * 2
+    sources = e.select(F.col("src").alias("node")).distinct().join(into.select("node"), "node", "left_anti")
+    lone = p.where("NOT open").join(sources.withColumnRenamed("node", "at"), "at", "left_semi").select("node")
+    return sources.unionByName(lone), p.where("open").select(F.col("at").alias("node")).distinct()
+
+
+def _reversed(e: DataFrame) -> DataFrame:
+    return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def cycle_nodes(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+def _without(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    return e.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
+
+
+def _trimmed(e: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without edges that can't lie on a cycle because nothing leads to them or from them; and found with rings that were met."""
+    before, n = -1, e.count()
+    while n and n != before:
+        before = n
+        for turn in (lambda x: x, _reversed):
+            ends, rings = _ends(turn(e))
+            found = _cut(found.unionByName(rings))
+            e = _cut(_without(e, ends.unionByName(rings)))
+        n = e.count()
+    return e, found
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
     """The nodes on any cycle, self-loops included.
 
-    Edges that can't lie on a cycle are trimmed: those whose source has no
-    predecessor or whose target has no successor.  Of what is left, colours
-    spread forward: each node takes the largest id that reaches it; a colour's
-    own node then spreads backward within its colour, and what it reaches is its
-    strongly connected component.  Settled nodes leave, and the rest goes on.
+    Edges that can't lie on a cycle are trimmed.  What the node of most edges
+    reaches and is reached by is its strongly connected component, usually the
+    giant one; it leaves first.  Of what is left, colours spread forward:
+    each node takes the largest id that reaches it; a colour's own node then
+    spreads backward within its colour, and what it reaches is its component.
+    Settled nodes leave, and the rest goes on.
     """
-    e = edges.select("src", "dst").distinct()
-    if (few := _few(e, local)) is not None:
-        loops = {a for a, b in few if a == b}
-        nodes = sorted(loops.union(*(g for g in _components(few) if len(g) > 1)))
-        return edges.sparkSession.createDataFrame([(x,) for x in nodes], f"node {dict(edges.dtypes)['src']}")
-    e = _cut(e)
+    e = _cut(edges.select("src", "dst").distinct())
     found = e.where("src = dst").select(F.col("src").alias("node"))
-    e = e.where("src != dst")
+    e, found = _trimmed(e.where("src != dst"), found)
+    if e.isEmpty():
+        return found.distinct()
+    hub = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("a")).join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("b")), "node")
+    hub = _cut(hub.orderBy((F.col("a") * F.col("b")).desc(), "node").limit(1).select("node"))
+    own = _cut(reach(e, hub, 1 << 30).join(reach(_reversed(e), hub, 1 << 30).select("node"), "node", "left_semi").select("node"))
+    if own.count() > 1:
+        found = found.unionByName(own)
+        e = _cut(_without(e, own))
     while True:
-        e = _trimmed(e)
+        e, found = _trimmed(e, found)
         if e.isEmpty():
             return found.distinct()
         colour = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("colour", F.col("node"))
@@ -166,23 +155,10 @@ def cycle_nodes(edges: DataFrame, local: int = LOCAL) -> DataFrame:
             colour = new.select("node", "colour")
         c1, c2 = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
         inside = _cut(e.join(c1, "src").join(c2, "dst").where("a = b").select("src", "dst"))
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        roots = colour.where("node = colour").select("node")
-        scc = reach(back, roots, 1 << 30, local=0)
-        scc = scc.join(colour, "node")
+        scc = reach(_reversed(inside), colour.where("node = colour").select("node"), 1 << 30).join(colour, "node")
         several = scc.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
         found = _cut(found.unionByName(scc.join(several, "colour", "left_semi").select("node")))
-        gone = scc.select("node")
-        e = _cut(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-
-
-def _trimmed(e: DataFrame) -> DataFrame:
-    before = -1
-    e = _cut(e)
-    while (n := e.count()) != before:
-        before = n
-        e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-    return e
+        e = _cut(_without(e, scc.select("node")))
 
 
 def cycle_paths(edges: DataFrame, max_length: int = 8) -> DataFrame:

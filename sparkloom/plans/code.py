@@ -125,18 +125,19 @@ def extract_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(text.imports(F.col("html"))).alias("name"))
 
 
-# Graphs: suppliers are nodes; an order line in five hundred links its supplier to one picked by its part.
-_E = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_orderkey % 500 = 0), n AS (SELECT s_suppkey AS node FROM supplier)"
+# Graphs: customers are nodes; of each customer's orders of a status the largest links them to the customer of the next order, if that has another status.
+_E = """m AS (SELECT o_custkey AS src, o_orderstatus AS status, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS k FROM orders GROUP BY ALL),
+e AS (SELECT DISTINCT src, o_custkey AS dst FROM m JOIN orders ON o_orderkey = k + 1 WHERE o_orderstatus <> status), n AS (SELECT c_custkey AS node FROM customer)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order line in five hundred, as the SQL has it; all_edges has all of them."""
-    n = table(spark, sf_dir, "supplier").count()
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 500 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    largest = o.groupBy(F.col("o_custkey").alias("src"), F.col("o_orderstatus").alias("status")).agg((F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")) + 1).alias("o_orderkey"))
+    return largest.join(o.drop("o_totalprice"), "o_orderkey").where("o_orderstatus != status").select("src", F.col("o_custkey").alias("dst")).distinct()
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
 
 
 @query("callers", f"WITH {_E} SELECT src AS caller FROM e WHERE dst = 1")
@@ -180,9 +181,17 @@ def graph_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).join(d, "node", "left").select("node", F.round(F.coalesce("d", F.lit(0)) / F.lit(100.0), 6).alias("graph_score"))
 
 
-@query("bfs_depth3", f"WITH RECURSIVE {_E}, r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+@query("bfs_depth3", f"WITH RECURSIVE {_E}, r AS (SELECT c_custkey AS node, 0 AS depth FROM customer WHERE c_nationkey = 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def bfs_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reach(edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"), 3)
+    """From the customers of one nation."""
+    start = table(spark, sf_dir, "customer").where("c_nationkey = 0").select(F.col("c_custkey").alias("node"))
+    return G.reach(edges(spark, sf_dir), start, 3)
+
+
+@query("bfs_all", f"WITH RECURSIVE {_E}, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+def bfs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that one customer reaches, in several rounds."""
+    return G.reach(edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), 40)
 
 
 @query("cycle_nodes", f"WITH RECURSIVE {_E}, r AS (SELECT src AS s, dst AS node FROM e UNION SELECT s, dst FROM r JOIN e ON src = node) SELECT DISTINCT node FROM r WHERE s = node")
@@ -190,66 +199,6 @@ def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cycle_nodes(edges(spark, sf_dir))
 
 
-# The same over every order line.  The graph is too dense for the recursive SQL, so the two traversals have none.
-_EA = _E.replace(" WHERE l_orderkey % 500 = 0", "")
-
-
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "supplier").count()
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
-
-
-@query("callers_all", f"WITH {_EA} SELECT src AS caller FROM e WHERE dst = 1")
-def callers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.callers(all_edges(spark, sf_dir), 1)
-
-
-@query("callees_all", f"WITH {_EA} SELECT dst AS callee FROM e WHERE src = 1")
-def callees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.callees(all_edges(spark, sf_dir), 1)
-
-
-@query("neighbours_all", f"WITH {_EA} SELECT DISTINCT dst AS node FROM e WHERE src = 0")
-def neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbours(all_edges(spark, sf_dir), 0)
-
-
-@query("entry_points_all", f"WITH {_EA} SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)")
-def entry_points_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.entry_points(nodes(spark, sf_dir), all_edges(spark, sf_dir))
-
-
-@query("leaf_nodes_all", f"WITH {_EA} SELECT node FROM n WHERE node NOT IN (SELECT src FROM e)")
-def leaf_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.leaves(nodes(spark, sf_dir), all_edges(spark, sf_dir))
-
-
-@query("degree_topk_all", f"WITH {_EA} SELECT src AS node, count(*) AS degree FROM e GROUP BY 1 ORDER BY degree DESC, node LIMIT 10")
-def degree_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bottlenecks(all_edges(spark, sf_dir), 10)
-
-
-@query("graph_stats_all", f"WITH {_EA} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, round((SELECT count(*) FROM e) / (SELECT count(*) FROM n)::DOUBLE, 6) AS avg_degree")
-def graph_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.stats(nodes(spark, sf_dir), all_edges(spark, sf_dir))
-
-
-@query("graph_scores_all", f"WITH {_EA} SELECT node, round(count(src) / 100.0::DOUBLE, 6) AS graph_score FROM n LEFT JOIN e ON src = node GROUP BY 1")
-def graph_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = all_edges(spark, sf_dir).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
-    return nodes(spark, sf_dir).join(d, "node", "left").select("node", F.round(F.coalesce("d", F.lit(0)) / F.lit(100.0), 6).alias("graph_score"))
-
-
-@query("bfs_depth3_all")
-def bfs_depth3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reach(all_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"), 3)
-
-
-@query("cycle_nodes_all")
-def cycle_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.cycle_nodes(all_edges(spark, sf_dir))
-
-
 @query(
     "flow_reach",
     """WITH RECURSIVE s AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),

@@ -8,19 +8,6 @@ from sparkloom.operators import graph as G
 from sparkloom.plans import catalogue
 
 
-@pytest.fixture
-def graph(spark, tmp_path):
-    """Fourteen order lines of eight suppliers, and a ninth supplier; no order key is a multiple of 500, so the filtered graph is empty."""
-    random.seed(9)
-    lines = [(k + 1, random.randrange(8), random.randrange(40)) for k in range(14)]
-    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(k,) for k in range(9)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
-    after = {}
-    for _, a, b in lines:
-        after.setdefault(a, set()).add(b % 9)
-    return str(tmp_path), after
-
-
 def within(after, start, most):
     depth, layer = {}, set(start)
     for d in range(1, most + 1):
@@ -29,24 +16,47 @@ def within(after, start, most):
     return depth
 
 
-@pytest.mark.parametrize("local", [0, G.LOCAL])
-def test_traversals_take_every_line(spark, graph, monkeypatch, local):
-    sf, after = graph
-    for f in (G.reach, G.cycle_nodes):
-        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], local))
-    got = {r["node"]: r["depth"] for r in catalogue.QUERIES["bfs_depth3_all"](spark, sf).collect()}
-    assert got == {**within(after, [0], 3), 0: 0}
-    got = [r["node"] for r in catalogue.QUERIES["cycle_nodes_all"](spark, sf).collect()]
-    assert sorted(got) == [a for a in range(9) if a in within(after, [a], 9)] and got
-
-
-def test_lookups_take_every_line(spark, graph):
-    sf, after = graph
-    q = {n: catalogue.QUERIES[f"{n}_all"](spark, sf).collect() for n in ("callers", "entry_points", "leaf_nodes", "graph_stats")}
-    assert sorted(r["caller"] for r in q["callers"]) == sorted(a for a in after if 1 in after[a])
-    assert sorted(r["node"] for r in q["entry_points"]) == [n for n in range(9) if not any(n in b for b in after.values())]
-    assert sorted(r["node"] for r in q["leaf_nodes"]) == [n for n in range(9) if n not in after]
-    assert q["graph_stats"][0]["n_edges"] == sum(map(len, after.values()))
+def table_of(spark, pairs):
+    return spark.createDataFrame(sorted(pairs), "src long, dst long")
+
+
+def on_cycles(pairs):
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    return sorted(a for a in after if a in within(after, [a], len(pairs) + 1))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_of_random_graphs(spark, seed):
+    """Sparse random graphs with loops, chains that lead into and out of rings, and a ring with a shortcut."""
+    random.seed(seed)
+    pairs = {(random.randrange(40), random.randrange(40)) for _ in range(34 + 8 * seed)}
+    pairs |= {(100 + k, 101 + k) for k in range(9)} | {(109, 104)} | {(200 + k, 200 + (k + 1) % 7) for k in range(7)} | {(203, 300), (300, 301), (400, 203)}
+    pairs |= {(500 + k, 500 + (k + 1) % 6) for k in range(6)} | {(500, 503)}
+    assert sorted(r["node"] for r in G.cycle_nodes(table_of(spark, pairs)).collect()) == on_cycles(pairs)
+
+
+def test_long_chains_and_rings(spark):
+    """A chain of 1,000 edges has no cycle and a ring of 300 is one; both take a logarithmic number of rounds."""
+    import time
+
+    begin = time.perf_counter()
+    assert G.cycle_nodes(table_of(spark, {(k, k + 1) for k in range(1000)})).collect() == []
+    assert time.perf_counter() - begin < 90
+    ring = {(k, (k + 1) % 300) for k in range(300)} | {(1000 + k, 1001 + k) for k in range(40)} | {(1040, 1000)}
+    assert len(G.cycle_nodes(table_of(spark, ring)).collect()) == 341
+
+
+def test_reach_takes_the_least_depth(spark):
+    random.seed(3)
+    pairs = {(random.randrange(60), random.randrange(60)) for _ in range(90)}
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    for most in (1, 3, 4, 7, 50):
+        got = {r["node"]: r["depth"] for r in G.reach(table_of(spark, pairs), spark.createDataFrame([(0,), (1,)], "node long"), most).collect()}
+        assert got == {**within(after, [0, 1], most), 0: 0, 1: 0}
 
 
 def test_search_takes_every_query(spark, tmp_path):
