@@ -31,6 +31,13 @@ def by_lines(df: DataFrame, content: str, max_tokens: int = 512) -> DataFrame:
     return d.withColumn("token_count", text.word_count(F.col("chunk"))).drop("_lines", "_start", "_part")
 
 
+def compat_lines(chunks: DataFrame, base: str = "core") -> DataFrame:
+    """The line numbers of chunks as other readers count them: core is 0-based and half-open; fallback is 1-based and ends one past."""
+    if base == "core":
+        return chunks.withColumn("start_line", F.col("start_line") - 1)
+    return chunks.withColumn("end_line", F.col("end_line") + 1)
+
+
 def with_overlap(chunks: DataFrame, file: str, order: str = "chunk_no", words: int = 64) -> DataFrame:
     """Each chunk with the last words of the one before it in front; core_token_count is the count without them."""
     before = F.lag("chunk").over(Window.partitionBy(file).orderBy(order))

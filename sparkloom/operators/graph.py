@@ -161,6 +161,27 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
         e = _cut(_without(e, scc.select("node")))
 
 
+def flagged(nodes: DataFrame, kinds: list[DataFrame]) -> DataFrame:
+    """nodes with in_cycle: whether a node is on a cycle of any of several kinds of edges (calls, imports), each taken by itself."""
+    found = None
+    for e in kinds:
+        c = cycle_nodes(e)
+        found = c if found is None else found.unionByName(c)
+    return nodes.join(found.distinct().withColumn("in_cycle", F.lit(True)), "node", "left").na.fill(False, ["in_cycle"])
+
+
+def of_symbols(symbols: DataFrame, project: str = "") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of rule symbols (file, name, kind, line, context_snippet): a call names the least id among the symbols of that name, so edges meet nodes."""
+    from sparkloom.functions import text
+
+    node = lambda c: F.concat_ws(":", F.lit(project), F.col(f"{c}file"), F.col(f"{c}name"))
+    s = symbols.withColumn("node", node(""))
+    called = s.select(F.col("node").alias("src"), F.explode(text.calls(F.col("context_snippet"))).alias("name"))
+    by_name = s.groupBy("name").agg(F.min("node").alias("dst"))
+    edges = called.join(by_name, "name").where("src != dst").select("src", "dst").distinct()
+    return s.select("node", "kind", "file", "name").distinct(), edges
+
+
 def cycle_paths(edges: DataFrame, max_length: int = 8) -> DataFrame:
     """Simple cycles of up to max_length nodes, for display: each once, from its least node, with the closing node.  Meant for the few edges among cycle_nodes."""
     e = edges.select("src", "dst").distinct()

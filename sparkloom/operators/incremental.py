@@ -28,6 +28,17 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "path", "full").withColumn("change", change).where("change IS NOT NULL").select("path", "change")
 
 
+def changed_roots(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """Values of by (projects) whose root differs or that only one side has; where roots are equal there is nothing to compare."""
+    o, n = merkle_root(old, by).withColumnRenamed("root", "o"), merkle_root(new, by).withColumnRenamed("root", "n")
+    return o.join(n, by, "full").where("NOT (o <=> n)").select(by)
+
+
+def uncached(files: DataFrame, recorded: DataFrame) -> DataFrame:
+    """files (path, hash) that aren't recorded with that hash.  Record hashes after the work on them has succeeded."""
+    return files.join(recorded.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
 def to_index(changes: DataFrame) -> DataFrame:
     return changes.where("change != 'removed'").select("path")
 

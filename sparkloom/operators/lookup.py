@@ -18,6 +18,11 @@ def at_line(chunks: DataFrame, file: str, line: int) -> DataFrame:
     return chunks.where((F.col("file") == file) & (F.col("start_line") <= line) & (F.col("end_line") >= line))
 
 
+def of_file(rows: DataFrame, file: str) -> DataFrame:
+    """Symbols or chunks of one file."""
+    return rows.where(F.col("file") == file)
+
+
 def related_names(df: DataFrame, name: str, column: str = "name") -> DataFrame:
     """Another name that holds this one or is held by it."""
     c = F.col(column)

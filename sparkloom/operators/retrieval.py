@@ -1,8 +1,9 @@
 """Lexical and vector retrieval, fusion and ranking.
 
-Corpus statistics are one aggregate over exploded terms (partial aggregation on
-the map side).  A query's terms are few and given, so they filter the postings
-before anything is joined; top-k is TakeOrderedAndProject.
+A document's term counts are folded within its row (a sort and the gaps between
+the places where the term changes), so only terms are shuffled, with map-side
+sums.  A query's terms are few and given, so they filter a row's terms before
+anything else; top-k is TakeOrderedAndProject.
 """
 
 from __future__ import annotations
@@ -11,12 +12,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring, text
+from sparkloom.sources.shared import written
+
+
+def _folded(d: DataFrame, key: str) -> DataFrame:
+    """(key, length, counts) from (key, length, terms): counts is an array of (term, tf) in the order of terms."""
+    d = d.withColumn("terms", F.sort_array("terms"))
+    at = F.sequence(F.lit(0), F.size("terms") - 1)
+    d = d.withColumn("starts", F.when(F.size("terms") > 0, F.filter(at, lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))).otherwise(F.array().cast("array<int>")))
+    entry = lambda i, k: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("terms")) - i).cast("long").alias("tf"))
+    return d.select(key, "length", F.transform("starts", entry).alias("counts"))
 
 
 def term_frequencies(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, term, tf, length): a row for each term of each document; length counts all its terms."""
+    """(key, term, tf, length): a row for each term of each document; length counts all its terms.  Row-local."""
     t = docs.select(key, text.tokens(F.col(content)).alias("terms")).withColumn("length", F.size("terms"))
-    return t.select(key, "length", F.explode("terms").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    # Not explode: Spark would infer a filter on the array's size and work out all of it once more, element by element.
+    return _folded(t, key).select(key, "length", F.explode_outer("counts").alias("c")).where("c IS NOT NULL").select(key, "length", "c.term", "c.tf")
 
 
 def corpus_stats(docs: DataFrame, content: str) -> DataFrame:
@@ -37,13 +49,18 @@ def weighted_terms(tf: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFra
 def bm25(docs: DataFrame, key: str, content: str, terms: list[str]) -> DataFrame:
     """(key, score) of the documents that hold any of the query's terms (distinct, at most a few hundred).
 
-    Only those terms' postings are aggregated; nothing else of the corpus is exploded.
+    One pass over the texts leaves slim rows (key, length, counts of the query's
+    terms), which are written; statistics and scores come from those.
     """
     wanted = F.array(*[F.lit(t) for t in sorted(set(terms))]) if terms else F.array().cast("array<string>")
     d = docs.select(key, text.tokens(F.col(content)).alias("terms")).withColumn("length", F.size("terms"))
-    tf = d.select(key, "length", F.explode(F.filter("terms", lambda x: F.array_contains(wanted, x))).alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    weighted = weighted_terms(tf, term_stats(tf), corpus_stats(docs, content))
-    return weighted.groupBy(key).agg(F.round(F.sum("weight"), 6).alias("score"))
+    slim = written(_folded(d.withColumn("terms", F.filter("terms", lambda x: F.array_contains(wanted, x))), key), "postings")
+    tf = slim.select(key, "length", F.explode("counts").alias("c")).select(key, "length", "c.term", "c.tf")
+    stats = slim.agg(F.count("*").alias("n_docs"), F.avg(F.col("length").cast("double")).alias("avg_length"))
+    # A query's terms are a few hundred rows at most, and so are their statistics.
+    weighted = tf.join(F.broadcast(term_stats(tf)), "term").join(F.broadcast(stats), F.lit(True))
+    weight = scoring.bm25_weight(scoring.idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("length"), F.col("avg_length"))
+    return weighted.groupBy(key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:

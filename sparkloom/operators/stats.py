@@ -27,6 +27,15 @@ def language_histogram(files: DataFrame, language: str = "language") -> DataFram
     return files.groupBy(language).agg(F.count("*").alias("n_files")).orderBy(F.desc("n_files"), language)
 
 
+def dominant_language(files: DataFrame, *by: str, merged: tuple[tuple[str, str], ...] = (("typescript", "javascript"),)) -> DataFrame:
+    """The language of most files (by by): TypeScript counts as JavaScript; ties go to the greater name; files without a language don't count."""
+    lang = F.col("language")
+    for a, b in merged:
+        lang = F.when(lang == a, b).otherwise(lang)
+    n = files.where("language IS NOT NULL").groupBy(*by, lang.alias("language")).agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.max_by("language", F.struct("n", "language")).alias("language"))
+
+
 def language_stats(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """By language: files and lines, and symbols, functions and classes; languages without symbols stay."""
     f = files.groupBy("language").agg(F.count("*").alias("n_files"), F.sum("n_lines").alias("n_lines"))

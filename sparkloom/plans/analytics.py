@@ -11,6 +11,8 @@ from sparkloom.operators import lookup as L
 from sparkloom.operators import stats as S
 from sparkloom.plans.base import query
 from sparkloom.plans.retrieval import TOKENS
+from sparkloom.plans.source import CODE_SQL
+from sparkloom.plans.source import files as code_files
 from sparkloom.sources import sinks
 from sparkloom.sources.tables import table, webhook_changes
 
@@ -25,11 +27,9 @@ def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.contains_any(table(spark, sf_dir, "part"), "Red", "p_name", "p_type").select("p_partkey", "p_name")
 
 
-@query("related_names", "SELECT p_partkey FROM part, (SELECT p_name AS q FROM part WHERE p_partkey = 1) WHERE p_name <> q AND (contains(p_name, q) OR contains(q, p_name))")
+@query("related_names", "SELECT p_partkey FROM part WHERE p_name <> 'ring' AND (contains(p_name, 'ring') OR contains('ring', p_name))")
 def related_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
-    first = parts.where("p_partkey = 1").select("p_name").first()
-    return L.related_names(parts, first[0] if first else "", "p_name").select("p_partkey")
+    return L.related_names(table(spark, sf_dir, "part"), "ring", "p_name").select("p_partkey")
 
 
 @query("exact_name", "SELECT p_partkey FROM part WHERE p_name = (SELECT p_name FROM part WHERE p_partkey = 1)")
@@ -121,12 +121,14 @@ def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lengths(table(spark, sf_dir, "documents"), "text")
 
 
-_FRAMES = " UNION ALL ".join(f"SELECT page_id, '{n}' AS framework, array_to_string(list_filter([{', '.join(f'CASE WHEN contains(html, $${p}$$) THEN $${p}$$ END' for p in ps)}], lambda x: x IS NOT NULL), ',') AS patterns FROM pages WHERE contains(html, '{i}')" for i, n, ps in rules.FRAMEWORKS)
+_FRAMES = " UNION ALL ".join(f"SELECT file, '{n}' AS framework, array_to_string(list_filter([{', '.join(f'CASE WHEN contains(content, $${p}$$) THEN $${p}$$ END' for p in ps)}], lambda x: x IS NOT NULL), ',') AS patterns FROM g WHERE contains(content, '{i}')" for i, n, ps in rules.FRAMEWORKS)
 
 
-@query("framework_rules", f"SELECT * FROM ({_FRAMES}) WHERE patterns <> ''")
+@query("framework_rules", f"WITH {CODE_SQL}, g AS (SELECT url AS file, html AS content FROM pages UNION ALL SELECT file, content FROM f) SELECT * FROM ({_FRAMES}) WHERE patterns <> ''")
 def framework_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.frameworks(table(spark, sf_dir, "pages"), "html", ("page_id",))
+    """The pages and the inline source files; no given table holds code."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("file"), F.col("html").alias("content"))
+    return S.frameworks(pages.unionByName(code_files(spark).select("file", "content")))
 
 
 def _layer_sql(annots: str, file: str, name: str) -> str:
@@ -138,10 +140,15 @@ def _layer_sql(annots: str, file: str, name: str) -> str:
     return f"CASE {' '.join(cases)} ELSE 'Unknown' END"
 
 
-@query("layer_rules", f"SELECT page_id, {_layer_sql('[]::VARCHAR[]', 'url', 'left(html, 200)')} AS layer FROM pages")
+#: Annotations that pages take in turn, so that each rule on annotations is met.
+_NOTES = ("RestController", "Service", "UserRepo", "Entity", "Filter", "Config", "Other", "Injectable", "Table")
+
+
+@query("layer_rules", f"SELECT page_id, {_layer_sql(f'[lower({list(_NOTES)!r}[(page_id % {len(_NOTES)} + 1)::INT])]', 'url', 'html')} AS layer FROM pages")
 def layer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules see the whole page; the SQL its first 200 characters, which is the same where no rule's word stands further on."""
-    return table(spark, sf_dir, "pages").select("page_id", S.layer(F.array().cast("array<string>"), F.col("url"), F.col("html")).alias("layer"))
+    """Pages with an annotation each; the rules see the whole page."""
+    note = F.get(F.array(*map(F.lit, _NOTES)), (F.col("page_id") % len(_NOTES)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", S.layer(F.array(note), F.col("url"), F.col("html")).alias("layer"))
 
 
 _USE = "u AS (SELECT event_id AS id, user_id, ts, CASE event_type WHEN 'click' THEN 'openai' WHEN 'view' THEN 'anthropic' WHEN 'signup' THEN 'groq' WHEN 'error' THEN 'ollama' ELSE 'other' END AS provider, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'gpt-4o-mini' ELSE 'gpt-4o' END ELSE 'claude-3-5-sonnet' END AS model, (value * 100)::BIGINT AS tokens FROM events)"
@@ -279,13 +286,38 @@ def find_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.find_usages(c, "the").withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
 
 
-@query("rename_preview", r"SELECT conv_id, turn, text AS before, regexp_replace(text, '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])', '\1THE\2') AS after FROM conversations WHERE false")
-def rename_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No text holds the name that is asked for, as in the SQL; rename_preview_all rewrites."""
-    return L.rename_preview(table(spark, sf_dir, "conversations"), "no_such_name", "THE", "text").select("conv_id", "turn", "before", "after")
+_THE = r"(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])"
 
 
-@query("rename_preview_all")
-def rename_preview_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A word that occurs; held against brute force."""
+# One pass takes every second of adjacent words, so the SQL makes two.
+@query("rename_preview", rf"SELECT conv_id, turn, text AS before, regexp_replace(regexp_replace(text, '{_THE}', '\1THE\2', 'g'), '{_THE}', '\1THE\2', 'g') AS after FROM conversations WHERE regexp_matches(text, '{_THE}')")
+def rename_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rename_preview(table(spark, sf_dir, "conversations"), "the", "THE", "text").select("conv_id", "turn", "before", "after")
+
+
+@query("file_symbols", f"WITH {CODE_SQL} SELECT file, kind, name FROM (VALUES ('lib/a.rb', 'Class', 'Box'), ('lib/a.rb', 'Method', 'open')) v(file, kind, name) JOIN f USING (file)")
+def file_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule symbols of one file."""
+    from sparkloom.operators.symbols import by_rules
+
+    return L.of_file(by_rules(code_files(spark)), "lib/a.rb").select("file", "kind", "name")
+
+
+@query("dominant_language", "SELECT source AS project_id, arg_max(lang, (n, lang)) AS language FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
+def dominant_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a project's files; ties go to the greater name, as in the SQL."""
+    return S.dominant_language(table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), F.col("lang").alias("language")), "project_id")
+
+
+@query("skip_unchanged", f"WITH {_OLD}, {_NEW} SELECT nw.path FROM nw LEFT JOIN o ON o.path = nw.path AND o.hash = nw.hash WHERE o.path IS NULL")
+def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose hash isn't the recorded one: what a pass with a hash cache works on."""
+    old, new = snapshots(spark, sf_dir)
+    return I.uncached(new, old).select("path")
+
+
+@query("changed_roots", f"WITH {_OLD}, {_NEW}, a AS (SELECT split_part(path, '/', 1) AS p, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path)) AS r FROM o GROUP BY 1), b AS (SELECT split_part(path, '/', 1) AS p, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path)) AS r FROM nw GROUP BY 1) SELECT coalesce(a.p, b.p) AS project_id FROM a FULL JOIN b ON a.p = b.p WHERE a.r IS DISTINCT FROM b.r")
+def changed_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects whose root differs; the others need no comparison of files."""
+    old, new = (x.withColumn("project_id", F.element_at(F.split("path", "/"), 1)) for x in snapshots(spark, sf_dir))
+    return I.changed_roots(old, new, "project_id").select("project_id")

@@ -9,6 +9,8 @@ from sparkloom.functions import rules, text
 from sparkloom.operators import chunking as C
 from sparkloom.operators import graph as G
 from sparkloom.plans.base import query
+from sparkloom.plans.source import CODE_SQL
+from sparkloom.plans.source import files as code_files
 from sparkloom.sources.tables import table
 
 _LINES = r"CASE WHEN text = '' THEN [] ELSE string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r?\n') END"
@@ -119,10 +121,12 @@ def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(text.calls(F.col("html"))).alias("name"))
 
 
-@query("extract_imports", r"""SELECT page_id, unnest(list_concat(regexp_extract_all(html, 'use\s+([\w:]+)', 1), regexp_extract_all(html, 'import\s+[\w\*]+\s+from\s+[''"]([^''"]+)[''"]', 1),
-regexp_extract_all(html, 'from\s+[''"]([^''"]+)[''"]\s+import', 1), regexp_extract_all(html, 'from\s+([\w.]+)\s+import', 1), regexp_extract_all(html, '#include\s+[<"]([^>"]+)[>"]', 1))) AS name FROM pages""")
+@query("extract_imports", rf"""WITH {CODE_SQL}, g AS (SELECT url AS file, html AS text FROM pages UNION ALL SELECT file, content FROM f) SELECT file, unnest(list_concat(regexp_extract_all(text, 'use\s+([\w:]+)', 1), regexp_extract_all(text, 'import\s+[\w\*]+\s+from\s+[''"]([^''"]+)[''"]', 1),
+regexp_extract_all(text, 'from\s+[''"]([^''"]+)[''"]\s+import', 1), regexp_extract_all(text, 'from\s+([\w.]+)\s+import', 1), regexp_extract_all(text, '#include\s+[<"]([^>"]+)[>"]', 1))) AS name FROM g""")
 def extract_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(text.imports(F.col("html"))).alias("name"))
+    """The pages and the inline source files; no given table holds code."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("file"), F.col("html").alias("content"))
+    return pages.unionByName(code_files(spark).select("file", "content")).select("file", F.explode(text.imports(F.col("content"))).alias("name"))
 
 
 # Graphs: customers are nodes; of each customer's orders of a status the largest links them to the customer of the next order, if that has another status.
@@ -199,6 +203,17 @@ def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cycle_nodes(edges(spark, sf_dir))
 
 
+@query(
+    "cycle_flags",
+    f"""WITH RECURSIVE {_E}, i AS (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_linestatus = 'F'), r AS (SELECT src AS s, dst AS node FROM e UNION SELECT s, dst FROM r JOIN e ON src = node),
+x AS (SELECT DISTINCT node FROM r WHERE s = node UNION SELECT a FROM i WHERE a = b) SELECT node, node IN (SELECT node FROM x) AS in_cycle FROM n""",
+)
+def cycle_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers flagged where they are on a cycle of the order graph or, as a second kind of edge, link to themselves: line items' part to their supplier."""
+    second = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).where("src = dst")
+    return G.flagged(nodes(spark, sf_dir), [edges(spark, sf_dir), second])
+
+
 @query(
     "flow_reach",
     """WITH RECURSIVE s AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),

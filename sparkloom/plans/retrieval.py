@@ -72,27 +72,12 @@ def bm25_query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("item_id", "term", F.round(scoring.bm25_query_weight(scoring.idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("avg_length")), 6).alias("weight"))
 
 
-def _queries(vectors: DataFrame) -> DataFrame:
-    """The stated query set: the ten vectors of least id."""
-    return vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-
-
 @query(
     "cosine_topk",
-    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 10),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10""",
-)
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return R.cosine_search(v, _queries(v), 10)
-
-
-@query(
-    "cosine_topk_all",
     f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10""",
 )
-def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all, in blocks."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -146,5 +131,6 @@ def weighted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cross_project_rank", f"WITH {_RANK} SELECT source AS project_id, doc_id, final_score AS score FROM rk WHERE source IN ('src0', 'src1', 'src2') ORDER BY score DESC, doc_id LIMIT 10")
 def cross_project_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four projects' lists, of which three may be seen."""
     w = _weighted(spark, sf_dir).select(F.col("source").alias("project_id"), "doc_id", F.col("final_score").alias("score"))
-    return R.cross_project([w], ["src0", "src1", "src2"], 10, "doc_id")
+    return R.cross_project([w.where(F.col("project_id") == f"src{k}") for k in range(4)], ["src0", "src1", "src2"], 10, "doc_id")

@@ -32,12 +32,12 @@ def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CODE, "file string, language string, content string")
 
 
-_CODE = "f(file, language, content) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in CODE) + ")"
+CODE_SQL = "f(file, language, content) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in CODE) + ")"
 
 
 def _rules_sql(language: str) -> str:
     parts = " UNION ALL ".join(f"SELECT file, '{k}' AS kind, regexp_extract(line, '{p}', 1) AS name, n AS line FROM l" for k, p in rules.SYMBOLS[language])
-    return f"WITH {_CODE}, l AS (SELECT file, unnest(string_split(rtrim(content, chr(10)), chr(10))) AS line, unnest(range(1, len(string_split(rtrim(content, chr(10)), chr(10))) + 1)) AS n FROM f WHERE language = '{language}') SELECT file, kind, name, line::INT AS line FROM ({parts}) WHERE name <> ''"
+    return f"WITH {CODE_SQL}, l AS (SELECT file, unnest(string_split(rtrim(content, chr(10)), chr(10))) AS line, unnest(range(1, len(string_split(rtrim(content, chr(10)), chr(10))) + 1)) AS n FROM f WHERE language = '{language}') SELECT file, kind, name, line::INT AS line FROM ({parts}) WHERE name <> ''"
 
 
 def _by_rules(language: str):

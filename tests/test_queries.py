@@ -16,6 +16,10 @@ def duck(sf_dir):
     return c
 
 
+#: Queries that may have no rows on tables this small.
+SPARSE = {"callers", "callees", "neighbours", "leaf_nodes", "exact_name"}
+
+
 def rows(names, records):
     order = [names.index(n) for n in sorted(names)]
     return sorted(repr(tuple(r[i] for i in order)) for r in records)
@@ -26,7 +30,9 @@ def test_matches_sql(name, spark, sf_dir, duck):
     df = catalogue.QUERIES[name](spark, sf_dir)
     found = duck.execute(catalogue.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
-    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, found.fetchall())
+    want = found.fetchall()
+    assert want or name in SPARSE
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, want)
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
