@@ -123,7 +123,7 @@ def test_cycles(spark, pairs, want):
 
 def test_cycles_distributed(spark):
     pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("f", "f"), ("a", "g"), ("g", "h")]
-    assert nodes_of(graph.cycle_nodes(edges(spark, pairs), local=0)) == ["a", "b", "c", "d", "f"]
+    assert nodes_of(graph.cycle_nodes(edges(spark, pairs))) == ["a", "b", "c", "d", "f"]
 
 
 def test_long_chain_has_no_cycle(spark):
@@ -140,7 +140,7 @@ def test_reach(spark):
     start = spark.createDataFrame([("A",)], "node string")
     assert nodes_of(graph.reach(e, start, 3)) == ["A", "B", "C"]
     assert nodes_of(graph.reach(e, start, 1)) == ["A", "B"]
-    assert sorted(map(tuple, graph.reach(e, start, 3, local=0).collect())) == sorted(map(tuple, graph.reach(e, start, 3).collect()))
+    assert sorted(map(tuple, graph.reach(e, start, 3).collect())) == [("A", 0), ("B", 1), ("C", 2)]
     assert nodes_of(graph.reach(e, start, 3, include_start=False)) == ["B", "C"]
 
 
