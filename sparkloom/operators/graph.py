@@ -8,7 +8,7 @@ of n edges takes log n rounds, not n.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkloom.sources.shared import written
@@ -21,6 +21,14 @@ def _cut(df: DataFrame) -> DataFrame:
     return written(df, "graph")
 
 
+def _counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """df written, and how many of its rows meet the condition, counted by the tasks that write them: no job of its own."""
+    seen = Observation()
+    n = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    out = _cut(df.observe(seen, n.alias("n")))
+    return out, seen.get.get("n", 0)
+
+
 def callers(edges: DataFrame, node) -> DataFrame:
     return edges.where(F.col("dst") == node).select(F.col("src").alias("caller"))
 
@@ -72,9 +80,9 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int = 3, include_start:
             new = layer if new is None else new.unionByName(layer)
         new = new.groupBy("node").agg(F.min("depth").alias("depth")).join(seen.select("node"), "node", "left_anti")
         if depth < max_depth:
-            new = _cut(new)
+            new, left = _counted(new, F.col("depth") == depth)
             frontier = new.where(F.col("depth") == depth)
-            if frontier.isEmpty():
+            if not left:
                 depth = max_depth
         seen = seen.unionByName(new)
     return seen if include_start else seen.where("depth > 0")
@@ -89,12 +97,12 @@ def _ends(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     into = e.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("at"), F.count("*").alias("n"))
     single = into.where("n = 1").select("node", "at")
-    p = _cut(single.join(single.select(F.col("node").alias("at"), F.lit(True).alias("open")), "at", "left").select("node", "at", F.coalesce("open", F.lit(False)).alias("open")))
-    left, steps, before = p.where("open").count(), 1, -1
+    p, left = _counted(single.join(single.select(F.col("node").alias("at"), F.lit(True).alias("open")), "at", "left").select("node", "at", F.coalesce("open", F.lit(False)).alias("open")), F.col("open"))
+    steps, before = 1, -1
     while left and (left != before or steps < left):
         q = p.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("open").alias("more"))
-        p = _cut(p.where("open").join(q, "at").select("node", F.col("next").alias("at"), F.col("more").alias("open")).unionByName(p.where("NOT open")))
-        before, left, steps = left, p.where("open").count(), steps * 2
+        before, steps = left, steps * 2
+        p, left = _counted(p.where("open").join(q, "at").select("node", F.col("next").alias("at"), F.col("more").alias("open")).unionByName(p.where("NOT open")), F.col("open"))
     sources = e.select(F.col("src").alias("node")).distinct().join(into.select("node"), "node", "left_anti")
     lone = p.where("NOT open").join(sources.withColumnRenamed("node", "at"), "at", "left_semi").select("node")
     return sources.unionByName(lone), p.where("open").select(F.col("at").alias("node")).distinct()
@@ -108,17 +116,17 @@ def _without(e: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
 
 
-def _trimmed(e: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Without edges that can't lie on a cycle because nothing leads to them or from them; and found with rings that were met."""
-    before, n = -1, e.count()
-    while n and n != before:
-        before = n
-        for turn in (lambda x: x, _reversed):
-            ends, rings = _ends(turn(e))
-            found = _cut(found.unionByName(rings))
-            e = _cut(_without(e, ends.unionByName(rings)))
-        n = e.count()
-    return e, found
+def _trimmed(e: DataFrame, n: int, found: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """Without edges (n of them) that can't lie on a cycle because nothing leads to them or from them, how many are left, and found with rings that were met.
+
+    Turns go forward and backward until two in a row take nothing.
+    """
+    idle, forward = 0, True
+    while n and idle < 2:
+        ends, rings = _ends(e if forward else _reversed(e))
+        e, left = _counted(_without(e, ends.unionByName(rings)))
+        found, idle, n, forward = found.unionByName(rings), idle + 1 if left == n else 0, left, not forward
+    return e, n, found
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -131,34 +139,33 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     spreads backward within its colour, and what it reaches is its component.
     Settled nodes leave, and the rest goes on.
     """
-    e = _cut(edges.select("src", "dst").distinct())
+    e, n = _counted(edges.select("src", "dst").distinct(), F.col("src") != F.col("dst"))
     found = e.where("src = dst").select(F.col("src").alias("node"))
-    e, found = _trimmed(e.where("src != dst"), found)
-    if e.isEmpty():
+    e, n, found = _trimmed(e.where("src != dst"), n, found)
+    if not n:
         return found.distinct()
     hub = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("a")).join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("b")), "node")
     hub = _cut(hub.orderBy((F.col("a") * F.col("b")).desc(), "node").limit(1).select("node"))
-    own = _cut(reach(e, hub, 1 << 30).join(reach(_reversed(e), hub, 1 << 30).select("node"), "node", "left_semi").select("node"))
-    if own.count() > 1:
+    own, several = _counted(reach(e, hub, 1 << 30).join(reach(_reversed(e), hub, 1 << 30).select("node"), "node", "left_semi").select("node"))
+    if several > 1:
         found = found.unionByName(own)
-        e = _cut(_without(e, own))
+        e, n = _counted(_without(e, own))
     while True:
-        e, found = _trimmed(e, found)
-        if e.isEmpty():
+        e, n, found = _trimmed(e, n, found)
+        if not n:
             return found.distinct()
         colour = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("colour", F.col("node"))
         changed = True
         while changed:
             come = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
-            new = _cut(colour.join(come, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("up")))
-            changed = not new.where("up").isEmpty()
+            new, changed = _counted(colour.join(come, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("up")), F.col("up"))
             colour = new.select("node", "colour")
         c1, c2 = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
         inside = _cut(e.join(c1, "src").join(c2, "dst").where("a = b").select("src", "dst"))
         scc = reach(_reversed(inside), colour.where("node = colour").select("node"), 1 << 30).join(colour, "node")
         several = scc.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
         found = _cut(found.unionByName(scc.join(several, "colour", "left_semi").select("node")))
-        e = _cut(_without(e, scc.select("node")))
+        e, n = _counted(_without(e, scc.select("node")))
 
 
 def flagged(nodes: DataFrame, kinds: list[DataFrame]) -> DataFrame:

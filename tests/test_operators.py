@@ -126,6 +126,30 @@ def test_cycles_distributed(spark):
     assert nodes_of(graph.cycle_nodes(edges(spark, pairs))) == ["a", "b", "c", "d", "f"]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_of_random_graphs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(48)})
+    near = {a: {b for x, b in pairs if x == a} for a in range(40)}
+
+    def reached(a):
+        seen, todo = set(), list(near[a])
+        while todo:
+            if (b := todo.pop()) not in seen:
+                seen.add(b)
+                todo += near[b]
+        return seen
+
+    found = graph.cycle_nodes(spark.createDataFrame(pairs, "src int, dst int"))
+    assert sorted(r[0] for r in found.collect()) == [a for a in range(40) if a in reached(a)]
+
+
+def test_cycles_of_no_edges(spark):
+    assert graph.cycle_nodes(spark.createDataFrame([], "src int, dst int")).isEmpty()
+
+
 def test_long_chain_has_no_cycle(spark):
     assert graph.cycle_nodes(edges(spark, [(f"node_{k}", f"node_{k + 1}") for k in range(1000)])).isEmpty()
 
