@@ -12,20 +12,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import rules, text
+from sparkloom.functions import rules, scoring, text
 from sparkloom.operators import chunking, graph, lookup, retrieval, stats
 from sparkloom.operators import symbols as S
 
 
 @dataclass
 class Engine:
+    """vectors (chunk_id, embedding) are those of ``chunks``, made by the caller's model; without them search is lexical alone."""
+
     files: DataFrame
     records: DataFrame
+    vectors: DataFrame | None = None
 
     @classmethod
-    def over(cls, files: DataFrame) -> Engine:
+    def over(cls, files: DataFrame, vectors: DataFrame | None = None) -> Engine:
         """From (file, language, content)."""
-        return cls(files, S.analysed(files))
+        return cls(files, S.analysed(files), vectors)
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str) -> Engine:
@@ -51,12 +54,68 @@ class Engine:
         c = chunking.windows(self.files, "file", "content")
         return c.select("file", "language", "start_line", "end_line", F.col("chunk").alias("content"), chunking.chunk_id(F.lit(""), F.col("file"), F.col("start_line"), F.col("end_line"), F.lit(0)).alias("chunk_id"))
 
+    def _chunks_of(self, language: str | None) -> DataFrame:
+        return self.chunks.where(F.col("language") == language) if language else self.chunks
+
+    def _lexical(self, query: str, k: int, language: str | None) -> DataFrame | None:
+        """The k best (chunk_id, score) by BM25; None where the query has no term."""
+        c = self._chunks_of(language)
+        terms = [r[0] for r in c.sparkSession.range(1).select(F.explode(text.tokens(F.lit(query)))).collect()]
+        return retrieval.top(retrieval.bm25(c, "chunk_id", "content", terms), k, key="chunk_id") if terms else None
+
+    def _shown(self, best: DataFrame, *scores: str) -> DataFrame:
+        c = self.chunks.select("chunk_id", "file", "start_line", "end_line", text.preview(F.col("content")).alias("preview"))
+        return best.join(c, "chunk_id").select("chunk_id", "file", "start_line", "end_line", *scores, "preview").orderBy(F.desc(scores[0]), "chunk_id")
+
     def search(self, query: str, k: int = 10, language: str | None = None) -> DataFrame:
         """The best chunks by BM25, with a preview."""
-        c = self.chunks.where(F.col("language") == language) if language else self.chunks
-        terms = [r[0] for r in c.sparkSession.range(1).select(F.explode(text.tokens(F.lit(query)))).collect()]
-        best = retrieval.top(retrieval.bm25(c, "chunk_id", "content", terms), k, key="chunk_id")
-        return best.join(c, "chunk_id").select("chunk_id", "file", "start_line", "end_line", "score", text.preview(F.col("content")).alias("preview")).orderBy(F.desc("score"), "chunk_id")
+        best = self._lexical(query, k, language)
+        if best is None:
+            best = self.chunks.where("false").select("chunk_id", F.lit(0.0).alias("score"))
+        return self._shown(best, "score")
+
+    def semantic(self, vector: list[float], k: int = 10, language: str | None = None) -> DataFrame:
+        """The k best (chunk_id, score) by cosine with the vector of a query; chunks without a vector aren't found."""
+        if self.vectors is None:
+            raise ValueError("an engine without vectors has no semantic search")
+        v = self.vectors.where("embedding IS NOT NULL")
+        if language:
+            v = v.join(self._chunks_of(language).select("chunk_id"), "chunk_id", "left_semi")
+        query = F.array(*[F.lit(float(x)) for x in vector])
+        return retrieval.top(v.select("chunk_id", F.round(scoring.cosine(F.col("embedding"), query), 6).alias("score")), k, key="chunk_id")
+
+    def query(self, query: str, vector: list[float] | None = None, k: int = 10, language: str | None = None) -> DataFrame:
+        """Hybrid search: twice the wanted results by vector and by BM25, fused, then ranked by fused score, calls and kind.
+
+        final_score weighs the fused score (as a share of the highest possible),
+        calls out of the chunk's file in hundreds (one at most), and the
+        importance of the chunk's foremost symbol.  Without a vector it is
+        lexical alone, without a term in the query dense alone, without either
+        empty.
+        """
+        dense = self.semantic(vector, 2 * k, language) if vector is not None and self.vectors is not None else None
+        sparse = self._lexical(query, 2 * k, language)
+        none = self.chunks.where("false").select("chunk_id", F.lit(0.0).alias("score"))
+        found = retrieval.fused(none if dense is None else dense, none if sparse is None else sparse, 2 * k, key="chunk_id")
+        # At most 2 k rows.
+        near = F.broadcast(found.join(self.chunks.select("chunk_id", "file", "start_line", "end_line"), "chunk_id"))
+        s = self.symbols.select(F.col("file").alias("f"), F.col("start_line").alias("at"), text.importance(F.col("kind")).alias("importance"))
+        meta = s.join(near, (F.col("f") == F.col("file")) & F.col("at").between(F.col("start_line"), F.col("end_line"))).groupBy("chunk_id").agg(F.max("importance").alias("meta"))
+        calls = self.calls.where("callee_id IS NOT NULL").groupBy("file").agg(F.least(F.count("*") / F.lit(100.0), F.lit(1.0)).alias("graph"))
+        c = near.join(meta, "chunk_id", "left").join(calls, "file", "left").na.fill(0.0, ["graph", "meta"])
+        c = c.withColumn("similarity", F.col("rrf") / (2 * scoring.rrf(F.lit(1))))
+        return self._shown(retrieval.ranked(c, "similarity", "graph", "meta", "chunk_id").limit(k).select("chunk_id", "final_score", "source"), "final_score", "source")
+
+    def get_file(self, file: str) -> DataFrame:
+        return lookup.of_file(self.files, file)
+
+    def get_summary(self, file: str) -> DataFrame:
+        """A file's number of words and first lines, since no model is asked."""
+        return stats.fallback(self.get_file(file)).select("file", "summary")
+
+    def search_flow(self, words: str) -> DataFrame:
+        """Flows whose name holds words, regardless of case."""
+        return lookup.contains_any(self.flows(), words, "name")
 
     def find_definition(self, name: str, scope: str | None = None) -> DataFrame:
         return lookup.find_definition(self.symbols, name, scope)
