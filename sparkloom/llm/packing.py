@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import small_batches
+from sparkloom.llm.batches import give_back, small_batches
 from sparkloom.llm.common import table, written
 from sparkloom.llm.stretches import CLOSING, TOGETHER, Stretches, regrouped
 
@@ -84,13 +84,17 @@ class Tokens:
         self.stretches = Stretches(self._learn)
 
     def _learn(self, stretches: list[str]) -> list[bytes]:
-        """A call of the library costs as much as a short stretch, so many are encoded as one text, with an added token between them."""
+        """A call of the library costs as much as a short stretch, so many are encoded as one text, with an added token between them.
+
+        A call gets JOINED stretches at most, since its encodings take many times the memory of their ids.
+        """
         if self.mark is None or any(x in s for s in stretches for x in self.added):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(stretches, add_special_tokens=False)]
+            lots = (stretches[k : k + JOINED] for k in range(0, len(stretches), JOINED))
+            return [np.array(e.ids, "<u4").tobytes() for x in lots for e in self.model.encode_batch_fast(x, add_special_tokens=False)]
         mark, own = self.mark
         out = []
-        for e in self.model.encode_batch_fast([mark.join(stretches[k : k + JOINED]) + mark for k in range(0, len(stretches), JOINED)], add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
+        for k in range(0, len(stretches), JOINED):
+            ids = np.array(self.model.encode_batch_fast([mark.join(stretches[k : k + JOINED]) + mark], add_special_tokens=False)[0].ids, "<u4")
             data, start = ids.tobytes(), 0
             for end in (4 * np.nonzero(ids == own)[0]).tolist():
                 out.append(data[start:end])
@@ -344,19 +348,23 @@ def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         t = tokens(path)
-        for b in regrouped(batches, 1):
-            rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), t.ids_of(b.column(1)), strict=True):
-                ids = np.concatenate((ids, end))
-                for at in range(0, len(ids), SIZE):
-                    own = ids[at : at + SIZE]
-                    mid = 1 << (len(own).bit_length() - 1)
-                    first = zlib.crc32(own[:mid])
-                    rows.append((doc_id, at, len(own), zlib.crc32(own[mid:], first), len(ids), first, zlib.crc32(own[mid:]), seen[len(own)]))
-                    seen[len(own)] += 1
-            for k in range(0, len(rows), 1 << 16):
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows[k : k + (1 << 16)], strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), b.column(2)[0].as_py(), np.int32))], names=[*names, "part"])
+        try:
+            for b in regrouped(batches, 1):
+                rows = []
+                for doc_id, ids in zip(b.column(0).to_pylist(), t.ids_of(b.column(1)), strict=True):
+                    ids = np.concatenate((ids, end))
+                    for at in range(0, len(ids), SIZE):
+                        own = ids[at : at + SIZE]
+                        mid = 1 << (len(own).bit_length() - 1)
+                        first = zlib.crc32(own[:mid])
+                        rows.append((doc_id, at, len(own), zlib.crc32(own[mid:], first), len(ids), first, zlib.crc32(own[mid:]), seen[len(own)]))
+                        seen[len(own)] += 1
+                for k in range(0, len(rows), 1 << 16):
+                    columns = [pa.array(c, pa.int64()) for c in zip(*rows[k : k + (1 << 16)], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), b.column(2)[0].as_py(), np.int32))], names=[*names, "part"])
+        finally:  # the worker outlives the task
+            t.stretches.forget()
+            give_back()
 
     return d.mapInArrow(run, _PIECE + "".join(f", {c} long" for c in _CUT) + ", part int")
 

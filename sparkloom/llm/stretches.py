@@ -7,6 +7,7 @@ and the ids are gathered by NumPy.  Python touches distinct stretches only.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 TOGETHER = 4 << 20
 #: Stretches that are remembered: two generations of so many, some 70 MB each.
 HELD = 1 << 19
+#: Stretches that outlast a task.
+KEPT = 1 << 16
 #: Closing punctuation between a letter or digit of the Latin blocks (but for one that lower-cases to two) and white space.
 CLOSING = "([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f])([.,;:!?]+)([ \\n\\t\\r]|$)"
 
@@ -36,6 +39,10 @@ class Stretches:
         self.known: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """All but the KEPT that were met first, which the frequent ones are among."""
+        self.known, self.elder = dict(itertools.islice(self.known.items(), KEPT)), {}
+
     def _found(self, words: list[str]) -> list[bytes]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.held:  # the younger becomes the elder, so what is in use stays

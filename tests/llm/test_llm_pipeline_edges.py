@@ -1,5 +1,8 @@
 """Pipeline stages on odd rows: nulls, empty and repeated texts, extra columns with clashing names, and no rows."""
 
+import time
+
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm.common import written
@@ -30,3 +33,30 @@ def test_no_rows(spark, sf_dir, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf_dir), "none")
         assert docs.count() == 0
+
+
+def test_packing_leaves_no_memory_behind(spark):
+    """Workers live on through the stages after: what a task has learnt and what it worked with are given back at its end."""
+    import public_tokenizers
+
+    from sparkloom.llm import packing, stretches
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def held(batches):
+        own = packing.tokens(path).stretches
+        with open("/proc/self/smaps_rollup") as f:
+            kb = sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon"))
+        for _ in batches:
+            time.sleep(1)  # so that each partition finds a worker of its own
+            yield pa.RecordBatch.from_pydict({"n": [len(own.known) + len(own.elder)], "mb": [kb // 1024]})
+
+    env = spark.sparkContext.environment
+    env["FRESH_WORKERS"] = "1"  # not those of other tests
+    try:
+        docs = spark.range(0, 8000, 1, 4).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 200), x -> substring(md5(concat(id, ' ', x)), 1, 8)), ' ') AS text")
+        assert packing.pieces(docs, path).agg({"length": "sum"}).first()[0] > 1_600_000
+        left = spark.range(0, 4, 1, 4).mapInArrow(held, "n long, mb long").toPandas()
+    finally:
+        del env["FRESH_WORKERS"]
+    assert left.n.max() <= stretches.KEPT and left.mb.max() < 150
